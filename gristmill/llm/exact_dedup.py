@@ -29,7 +29,7 @@ from gristmill.llm.common import SPACES, lookup, map_batches, materialize, tune
 SLOTS_PER_ROW = 12
 PROBES = 3
 MAX_SLOTS = 2**29
-SLICES = 64
+SLICES = 32
 _SPACE_BYTES = SPACES.encode()
 
 
@@ -39,10 +39,13 @@ def normal_digest(text: str | None) -> tuple[bytes, int]:
     return hashlib.sha256(text.encode().translate(None, _SPACE_BYTES)).digest(), len(text)
 
 
-@F.pandas_udf("sha string, n long")
-def _digest(texts: pd.Series) -> pd.DataFrame:
-    found = [normal_digest(x) for x in texts]
-    return pd.DataFrame({"sha": [d.hex() for d, _ in found], "n": [n for _, n in found]}, columns=["sha", "n"])
+def _digest(text: str) -> Column:
+    @F.pandas_udf("sha string, n long")
+    def digest(texts: pd.Series) -> pd.DataFrame:
+        found = [normal_digest(x) for x in texts]
+        return pd.DataFrame({"sha": [d.hex() for d, _ in found], "n": [n for _, n in found]}, columns=["sha", "n"])
+
+    return digest(text)
 
 
 def slots_of(hashes: np.ndarray, slots: int) -> np.ndarray:
