@@ -84,3 +84,18 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Ite
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+#: Ids that may be broadcast: 8 to 40 MB as a hash table. More of them shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def without_ids(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id is in dropped.doc_id; rows without an id stay.
+
+    The ids are counted first: up to BROADCAST_IDS go to every executor and texts do not move, more of
+    them join by a shuffle.
+    """
+    ids = dropped.select("doc_id").where("doc_id is not null").distinct()
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti").select(docs.columns)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import lookup, materialize, tune
+from gristmill.llm.common import lookup, materialize, tune, without_ids
 
 BITS = 64
 SHARD_ROWS = 20_000
@@ -209,3 +209,9 @@ def linked(prints: DataFrame, radius: int = 2, shard_rows: int = SHARD_ROWS) ->
 def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id."""
     return linked(fingerprints(docs, shingle), radius).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def near_dedup(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
+    """docs' rows and columns, of each component only the rows of its smallest doc_id. Rows without an id stay."""
+    groups = materialize(linked(fingerprints(docs, shingle), radius), "groups")
+    return without_ids(docs, groups.where("doc_id <> component_id"))
