@@ -119,7 +119,7 @@ def repeat_filter(hashes: DataFrame, rows: int, max_slots: int = MAX_SLOTS) -> t
     return bits, slots
 
 
-def _tester(spark, bits: np.ndarray, slots: int):
+def tester(spark, bits: np.ndarray, slots: int):
     """pandas UDF on digests: may the digest be repeated?"""
     shared = spark.sparkContext.broadcast(bits)
 
@@ -141,7 +141,7 @@ def _survey(thin: DataFrame, max_slots: int):
     """The tester, and the suspects' groups: sha, best, group_size."""
     rows = thin.count()
     bits, slots = repeat_filter(thin.select("sha"), rows, max_slots)
-    maybe = _tester(thin.sparkSession, bits, slots)
+    maybe = tester(thin.sparkSession, bits, slots)
     suspects = materialize(thin.where(maybe("sha")).groupBy("sha", "doc_id", "n").agg(F.count("*").alias("alike")), "exact-suspects")
     return rows, maybe, suspects, suspects.groupBy("sha").agg(*_first(F.sum("alike")))
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.llm import bpe, exact_dedup, mixing, quality, simhash, token_count
+from gristmill.llm import ann, bpe, chat, exact_dedup, mixing, quality, secrets, simhash, substring_dedup, token_count
 from gristmill.llm.common import documents
 
 WORD_BPE = "word_bpe_49k.json"
@@ -26,11 +26,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ann": lambda spark, d: ann.neighbours(table(spark, d, "embeddings")),
         "op2_quality": lambda spark, d: quality.quality_scores(documents(spark, d), table(spark, d, "labels")),
         "op3_exact_dedup": lambda spark, d: exact_dedup.exact_groups(documents(spark, d)),
         "op4_bpe": lambda spark, d: bpe.word_bpe_digest(spark, documents(spark, d), tokenizer(WORD_BPE)),
+        "op5_secrets": lambda spark, d: secrets.secret_digest(documents(spark, d)),
         "op6_token_counts": lambda spark, d: token_count.token_counts(documents(spark, d), tokenizer(BYTE_BPE)),
         "op7_simhash": lambda spark, d: simhash.simhash_groups(documents(spark, d)),
+        "op8_chat": lambda spark, d: chat.conversation_digest(chat.with_hard_case(spark, table(spark, d, "conversations"))),
+        "op9_substring_dedup": lambda spark, d: substring_dedup.substring_dedup(documents(spark, d)),
         "op10_mixing": lambda spark, d: mixing.mix_plan(documents(spark, d)),
     }
 
@@ -44,4 +48,15 @@ def oracle_sql() -> dict[str, str]:
                          count(*) OVER (PARTITION BY text_sha256) AS group_size
                   FROM h WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LAST))
             SELECT doc_id, keep_id, group_size, k = 1 AS kept, text_sha256 FROM r""",
+        "op8_chat": r"""
+            WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                       UNION ALL SELECT -7, k, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS hard(k, r)),
+            e AS (SELECT *, regexp_replace(replace(replace(replace(text, '\', '\b'), '###', '\h'), '</turn>', '\e'), '<((image|audio|document) \d+>)', '\\l\1', 'g') AS etext,
+                         replace(regexp_replace(replace(replace(replace(role, '\', '\b'), '###', '\h'), '</turn>', '\e'), '<((image|audio|document) \d+>)', '\\l\1', 'g'), ':', '\c') AS erole FROM c)
+            SELECT conv_id, count(*) AS n_turns,
+                   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, erole || etext)) AS turns_sha256,
+                   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+                   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, etext) FILTER (role = 'assistant'), '')) AS loss_sha256,
+                   CAST(sum(length('### ' || erole || ': ' || etext || ' </turn>' || chr(10))) AS BIGINT) AS formatted_chars
+            FROM e GROUP BY conv_id""",
     }
