@@ -1,0 +1 @@
+"""A PySpark-native decision-support engine for supply-chain data."""
