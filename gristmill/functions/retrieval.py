@@ -60,25 +60,25 @@ def tokens(text: str) -> Column:
 
 
 def tfidf(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, term, weight: L2-normalised, with smoothed inverse document frequency."""
-    counts = docs.select(key, F.explode(tokens(text)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
-    spread = counts.groupBy("term").agg(F.count("*").alias("df"))
-    total = docs.agg(F.count("*").alias("docs"))
-    idf = spread.crossJoin(F.broadcast(total)).select("term", (F.log((1.0 + F.col("docs")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    weighed = counts.join(idf, "term").select(key, "term", (F.col("n") * F.col("idf")).alias("w"), "idf")
-    norms = weighed.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weighed.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"), "idf")
+    """key, _term, _weight, _idf: L2-normalised, with smoothed inverse document frequency."""
+    counts = docs.select(key, F.explode(tokens(text)).alias("_term")).groupBy(key, "_term").agg(F.count("*").alias("_n"))
+    spread = counts.groupBy("_term").agg(F.count("*").alias("_df"))
+    total = docs.agg(F.count("*").alias("_docs"))  # one row
+    idf = spread.crossJoin(F.broadcast(total)).select("_term", (F.log((1.0 + F.col("_docs")) / (1.0 + F.col("_df"))) + 1.0).alias("_idf"))
+    weighed = counts.join(idf, "_term").select(key, "_term", (F.col("_n") * F.col("_idf")).alias("_w"), "_idf")
+    norms = weighed.groupBy(key).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
+    return weighed.join(norms, key).select(key, "_term", (F.col("_w") / F.col("_norm")).alias("_weight"), "_idf")
 
 
 def tfidf_search(docs: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, query_text: str, top: int = TOP) -> DataFrame:
     """query_key, rank, key, score: the best documents of each query by TF-IDF cosine, ties by key."""
     weights = tfidf(docs, key, text)
-    known = weights.select("term", "idf").distinct()
-    asked = queries.select(query_key, F.explode(tokens(query_text)).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("n")).join(known, "term")
-    asked = asked.select(query_key, "term", (F.col("n") * F.col("idf")).alias("q"))
-    norms = asked.groupBy(query_key).agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("qn"))
-    hits = asked.join(weights.select(key, "term", "weight"), "term").groupBy(query_key, key).agg(F.sum(F.col("q") * F.col("weight")).alias("dot")).join(norms, query_key)
-    return top_k(hits.select(query_key, key, (F.col("dot") / F.col("qn")).alias("score")), query_key, key, top)
+    known = weights.select("_term", "_idf").distinct()
+    asked = queries.select(query_key, F.explode(tokens(query_text)).alias("_term")).groupBy(query_key, "_term").agg(F.count("*").alias("_n")).join(known, "_term")
+    asked = asked.select(query_key, "_term", (F.col("_n") * F.col("_idf")).alias("_q"))
+    norms = asked.groupBy(query_key).agg(F.sqrt(F.sum(F.col("_q") * F.col("_q"))).alias("_qn"))
+    hits = asked.join(weights.select(key, "_term", "_weight"), "_term").groupBy(query_key, key).agg(F.sum(F.col("_q") * F.col("_weight")).alias("_dot")).join(norms, query_key)
+    return top_k(hits.select(query_key, key, (F.col("_dot") / F.col("_qn")).alias("score")), query_key, key, top)
 
 
 def top_k(scores: DataFrame, query_key: str, key: str, top: int) -> DataFrame:

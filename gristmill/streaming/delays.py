@@ -19,7 +19,7 @@ def recent_delays(events: DataFrame, late: str = LATE, window: str = WINDOW, sli
 
     State is one counter for each supplier and open window, whatever the number of events.
     """
-    delays = events.where("event_type = 'delay'").withColumn("at", F.col("event_date").cast("timestamp")).withWatermark("at", late)
+    delays = events.where("event_type = 'delay'").withColumn("at", F.col("event_date").cast("timestamp_ltz")).withWatermark("at", late)
     return delays.groupBy("supplier_id", F.window("at", window, slide)).agg(F.count("*").alias("recent_delay_events")).select("supplier_id", F.col("window.end").alias("window_end"), "recent_delay_events")
 
 
