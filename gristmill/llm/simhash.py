@@ -63,8 +63,13 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return docs.select("doc_id", fp("text").alias("fp"))
 
 
-def bk_forest(points: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links (larger, smaller representative) that join all distinct points within radius, by one BK-tree.
+def distance(points: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Hamming distances of fingerprints of one or more words: the last axis holds the words."""
+    return np.bitwise_count(points ^ other).sum(-1, dtype=np.int16)
+
+
+def joined_within(points: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """(index, smallest index of its group) where they differ, for rows of words joined within radius, by one BK-tree.
 
     All points descend the tree together: at a node, the points whose distance to it differs from a
     child's edge by no more than the radius follow that edge. Subtrees of LEAF points are compared whole.
@@ -89,22 +94,29 @@ def bk_forest(points: np.ndarray, radius: int) -> list[tuple[int, int]]:
         if len(tree) <= LEAF:
             for lo in range(0, len(queries), 4096):
                 part = queries[lo : lo + 4096]
-                q, t = np.nonzero(np.bitwise_count(points[part][:, None] ^ points[tree][None]) <= radius)
+                q, t = np.nonzero(distance(points[part][:, None], points[tree][None]) <= radius)
                 a, b = part[q], tree[t]
                 new = (a > b) & (parent[a] != parent[b])  # the others are linked already, or itself
                 link(a[new], b[new])
             continue
         root, rest = tree[0], tree[1:]
-        apart = np.bitwise_count(points[queries] ^ points[root]).astype(np.int16)
+        apart = distance(points[queries], points[root])
         close = queries[(apart <= radius) & (queries != root)]
         link(close, np.full(len(close), root))
-        edges = np.bitwise_count(points[rest] ^ points[root]).astype(np.int16)
+        edges = distance(points[rest], points[root])
         for edge in np.unique(edges):
             follow = queries[np.abs(apart - edge) <= radius]
             if len(follow):
                 todo.append((rest[edges == edge], follow))
-    roots = np.array([find(i) for i in range(len(points))], int)
-    return [(int(points[i].view(np.int64)), int(points[r].view(np.int64))) for i, r in enumerate(roots) if i != r]
+    roots = [find(i) for i in range(len(points))]
+    return [(i, r) for i, r in enumerate(roots) if i != r]
+
+
+def bk_forest(points: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Links (larger, smallest of its group), as signed longs, of distinct 64-bit fingerprints within radius."""
+    signed = points.view(np.int64)
+    order = np.argsort(signed)
+    return [(int(signed[order[i]]), int(signed[order[r]])) for i, r in joined_within(points[order, None], radius)]
 
 
 def _forests(radius: int):
@@ -211,7 +223,132 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFr
     return linked(fingerprints(docs, shingle), radius).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_dedup(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
-    """docs' rows and columns, of each component only the rows of its smallest doc_id. Rows without an id stay."""
-    groups = materialize(linked(fingerprints(docs, shingle), radius), "groups")
-    return without_ids(docs, groups.where("doc_id <> component_id"))
+# Near copies by similarity: longer fingerprints, found in several tables.
+#
+# At a Jaccard similarity of 0.8 two 64-bit fingerprints differ in some ten bits, more than any blocking
+# by equal bits can bridge. WIDE fingerprints of 256 bits tell 0.8 from less, and tables of sampled bits
+# find them: a pair that agrees in a bit with probability p meets in a table of b bits with probability
+# p ** b. Enough tables are taken that such a pair meets at all with probability MEET.
+
+WIDE = 4
+OCCUPANCY = 64
+MEET = 0.99
+#: Standard deviations of slack on the bits that a pair of the given similarity differs in.
+SLACK = 2.0
+_STEPS = np.array([[0x9E3779B97F4A7C15 * (i + 1) % (1 << 64) for i in range(WIDE)]], np.uint64)
+
+
+def wide_fingerprint(text: str | None, shingle: int = 5) -> bytes:
+    """256 bits: the majority of the shingles' bits, each shingle's being four mixes of its XXH64."""
+    words = (text or "").encode().lower().split()
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words], dtype=np.int64) - 1
+    starts = np.append(0, ends[:-1] + 1)[: max(1, len(words) - shingle + 1)]
+    spans = zip(starts.tolist(), ends[min(shingle, len(words)) - 1 :].tolist() or [0], strict=False)
+    digest = xxhash.xxh64_intdigest
+    base = np.array([digest(joined[a:b], 42) for a, b in spans], np.uint64)
+    ones = np.zeros(64 * WIDE, np.int64)
+    for lo in range(0, len(base), 200):
+        x = base[lo : lo + 200, None] + _STEPS
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        ones += np.unpackbits(x.view(np.uint8), axis=1).sum(0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(base)).tobytes()
+
+
+def differing(similarity: float) -> float:
+    """Expected share of differing bits at a Jaccard similarity of sets of one size: the angle between them."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def tables_for(rows: int, similarity: float) -> tuple[int, int]:
+    """(bits, tables) so that a table's bucket holds about OCCUPANCY of the rows and pairs meet with probability MEET."""
+    bits = max(4, int(np.ceil(np.log2(max(2, rows) / OCCUPANCY))))
+    return bits, int(np.ceil(np.log(1 - MEET) / np.log(1 - (1 - differing(similarity)) ** bits)))
+
+
+def _sampled(seed: int, tables: int, bits: int, name: str):
+    """Array of (table, key): hashes of the sampled bits of w0 to w3. Equal bits give equal keys."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for t in range(tables):
+        masks = [0] * WIDE
+        for b in rng.choice(64 * WIDE, bits, replace=False).tolist():
+            masks[b // 64] |= 1 << (b % 64)
+        signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
+        parts = [F.col(f"w{i}").bitwiseAND(F.lit(m).cast("long")) for i, m in enumerate(signed)]
+        out.append(F.struct(F.lit(t).alias(name), F.xxhash64(F.lit(t), *parts).alias(f"{name}_key")))
+    return F.explode(F.array(*out)).alias("k")
+
+
+def _close(limit: int):
+    """Rows sorted by bucket to links of nodes at most `limit` bits apart, a forest for each bucket."""
+
+    def run(batches):
+        key, held = None, []
+
+        def close():
+            nodes, points = (np.concatenate(c) for c in zip(*held, strict=True)) if held else ((), ())
+            if len(nodes) > 1:
+                order = np.argsort(nodes)
+                yield from ((int(nodes[order][i]), int(nodes[order][r])) for i, r in joined_within(points[order], limit))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            node = batch.column(4).to_numpy()
+            points = np.stack([batch.column(5 + i).to_numpy() for i in range(WIDE)], 1).view(np.uint64)
+            cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in keys], axis=0)) + 1
+            links = []
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(node)], strict=True):
+                now = tuple(int(c[lo]) for c in keys)
+                if now != key:
+                    links += close()
+                    key, held = now, []
+                held.append((node[lo:hi], points[lo:hi]))
+            yield _links(links)
+        yield _links(list(close()))
+
+    return run
+
+
+def wide_links(distinct: DataFrame, rows: int, similarity: float, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """u, v (u > v) joining the nodes of distinct (node, w0 to w3) that are similar enough."""
+    share = differing(similarity)
+    bits, tables = tables_for(rows, similarity)
+    limit = int(64 * WIDE * share + SLACK * np.sqrt(64 * WIDE * share * (1 - share)))
+    names = [f"w{i}" for i in range(WIDE)]
+    keyed = distinct.select("node", *names, _sampled(17, tables, bits, "t")).select("k.*", "node", *names)
+    least = max(shard_rows, rows * tables // HOT_SHARDS)
+    hot = F.broadcast(keyed.groupBy("t", "t_key").count().where(F.col("count") > least).select("t", "t_key"))
+    blank = [F.lit(-1).alias("s"), F.lit(0).cast("long").alias("s_key")]
+    plain = keyed.join(hot, ["t", "t_key"], "left_anti").select("t", "t_key", *blank, "node", *names)
+    # hot buckets are dealt out by eight more bits, in as many tables as pairs need to meet there
+    more = tables_for(OCCUPANCY << 8, similarity)[1]
+    dealt = keyed.join(hot, ["t", "t_key"]).select("t", "t_key", "node", *names, _sampled(19, more, 8, "s")).select("t", "t_key", "k.*", "node", *names)
+    keys = ["t", "t_key", "s", "s_key"]
+    buckets = plain.unionByName(dealt).repartition(*keys).sortWithinPartitions(*keys)
+    return buckets.mapInArrow(_close(limit), "u long, v long")
+
+
+def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs' rows and columns, of each group of near copies only the rows of its smallest doc_id.
+
+    Near copies have a Jaccard similarity of word shingles of `similarity` or more, as their fingerprints
+    tell it; groups are what such pairs connect. Rows without an id stay.
+    """
+    tune(docs.sparkSession)
+
+    @F.pandas_udf("binary")
+    def print_of(texts: pd.Series) -> pd.Series:
+        return pd.Series([wide_fingerprint(x, shingle) for x in texts], dtype=object)
+
+    thin = materialize(docs.where("doc_id is not null").select("doc_id", print_of("text").alias("fp")), "wide-prints")
+    word = lambda i: F.conv(F.hex(F.substring("fp", 8 * i + 1, 8)), 16, -10).cast("long").alias(f"w{i}")
+    distinct = materialize(thin.groupBy("fp").agg(F.min("doc_id").alias("node")).select("node", *map(word, range(WIDE))), "wide-distinct")
+    tied = components(wide_links(distinct, distinct.count(), similarity))
+    kept = distinct.select("node").join(tied, "node", "left_anti")
+    dropped = thin.select("doc_id").join(kept.select(F.col("node").alias("doc_id")), "doc_id", "left_anti")
+    return without_ids(docs, dropped)
