@@ -1,8 +1,8 @@
 """Substring dedup by sliding sentence spans (operator 9).
 
-Texts are cut into sentences. From every sentence the shortest run of consecutive sentences with at
-least RUN sentences and MIN_WORDS words is hashed to 128 bits; a sentence of LONG words is a run by itself. Runs
-that occur before in their own text are repeats at once. The others are joined globally: a run's
+Texts are cut into sentences. From every sentence on, and up to every sentence, the shortest run of
+consecutive sentences with at least RUN sentences and MIN_WORDS words is hashed to 128 bits; a sentence
+of LONG words is a run by itself. Runs that occur before in their own text are repeats at once. The others are joined globally: a run's
 first document is the smallest doc_id that holds it, and in every other document the sentences it
 covers are removed.
 
@@ -47,15 +47,22 @@ def runs(text: str | None) -> list[tuple[bytes, int, int]]:
     real = [i for i, w in enumerate(words) if w]
     folded = [" ".join(words[i]) for i in real]
     sizes = [len(words[i]) for i in real]
-    out = []
-    for k in range(len(real)):
-        end, total = k, 0
-        while end < len(real) and (total < MIN_WORDS or end - k < RUN) and total < LONG:
-            total += sizes[end]
+    total = [0]
+    for n in sizes:
+        total.append(total[-1] + n)
+    enough = lambda a, b: total[b] - total[a] >= LONG or (b - a >= RUN and total[b] - total[a] >= MIN_WORDS)
+    spans, end, start = {}, 0, 0
+    for k in range(len(real)):  # the shortest run from each sentence on, and the shortest up to each
+        end = max(end, k)
+        while end < len(real) and not enough(k, end):
             end += 1
-        if total >= LONG or (total >= MIN_WORDS and end - k >= RUN):
-            out.append((xxhash.xxh3_128_digest("\n".join(folded[k:end]).encode()), real[k], real[end - 1] + 1))
-    return out
+        if enough(k, end):
+            spans[k, end] = None
+        while start < k and enough(start + 1, k + 1):
+            start += 1
+        if enough(start, k + 1):
+            spans[start, k + 1] = None
+    return [(xxhash.xxh3_128_digest("\n".join(folded[a:b]).encode()), real[a], real[b - 1] + 1) for a, b in spans]
 
 
 def _run_rows():
