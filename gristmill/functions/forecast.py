@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from gristmill.functions.timeseries import FIRST_T, HORIZON, MIN_TRAIN, SEASON, STEP, folds
+from gristmill.session import ship
 
 QUANTILES = (0.1, 0.5, 0.9)
 ROUNDS, LEAVES, LEAF_ROWS, L2, SHRINK = 60, 7, 5, 1.0, 0.1
@@ -164,6 +165,7 @@ def forecast_series(df: DataFrame, key: str, horizon: int = HORIZON) -> DataFram
         made = forecast(pdf.sort_values("t")["y"].to_numpy(), horizon)
         return pd.DataFrame({key: pdf[key].iloc[0], "step": range(1, horizon + 1), **{c: pd.array(made[c], "Float64") for c in ("lower", "point", "upper")}, "method": made["method"]})
 
+    ship(df.sparkSession)
     return df.select(key, "t", "y").groupBy(key).applyInPandas(one, f"{key} {df.schema[key].dataType.simpleString()}, step int, lower double, point double, upper double, method string")
 
 
@@ -174,4 +176,5 @@ def walk_forward_series(df: DataFrame, key: str, horizon: int = HORIZON) -> Data
         rows = [(k, o, *(fold(ys, int(o), horizon)[c] for c in ("mae", "baseline_mae", "interval_coverage"))) for k, o, ys in zip(pdf[key], pdf["origin"], pdf["ys"], strict=True)]
         return pd.DataFrame(rows, columns=[key, "origin", "mae", "baseline_mae", "interval_coverage"])
 
+    ship(df.sparkSession)
     return folds(df, key, horizon).groupBy(key, "origin").applyInPandas(one, f"{key} {df.schema[key].dataType.simpleString()}, origin int, mae double, baseline_mae double, interval_coverage double")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 #: Days are zone-less in the data model; ANSI errors beat silent nulls; AQE sizes shuffles at run time.
@@ -25,3 +30,17 @@ def session(master: str | None = None, app: str = "gristmill", **extra: str) ->
     for key, value in {**SETTINGS, **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package: once a context, as an archive that Spark serves to them.
+
+    Local workers that find it through PYTHONPATH already are left alone.
+    """
+    sc, root = spark.sparkContext, Path(__file__).resolve().parents[1]
+    known = sc.master.startswith("local") and str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if known or getattr(sc, "_gristmill_shipped", False):
+        return
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='gristmill-')}/gristmill", "zip", root, "gristmill")
+    sc.addPyFile(archive)
+    sc._gristmill_shipped = True
