@@ -8,6 +8,7 @@ whole tables are assessed inside code generation, without Python on the executor
 from __future__ import annotations
 
 import math
+import operator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +24,24 @@ FEATURES = {
     "supplier_reliability": ("late_delivery_rate", "evaluable_shipments"),
 }
 HIGH, MEDIUM = 0.65, 0.3
-COVER_DAYS, LATE_RATE, TRAFFIC, EVENTS, FRESH_DAYS, SAMPLE = 14, 0.3, 0.8, 3, 3, 10
+#: (field, comparison, bound, text): what keeps a row from being scored, absent fields counting as 0.
+BLOCKERS = {
+    "stockout": [("inventory_age_days", operator.gt, 3, "fresh inventory (at most 3 days old)")],
+    "late_delivery": [],
+    "supplier_reliability": [
+        ("evaluable_shipments", operator.lt, 10, "at least 10 evaluable shipments"),
+        ("missing_or_invalid_shipments", operator.gt, 0, "Resolve excluded shipment records before assessing supplier reliability."),
+    ],
+}
+#: What makes a clean row high, whatever its score.
+RULES = {
+    "stockout": [("days_of_cover", operator.lt, 14, "Rule: fewer than 14 days of inventory coverage")],
+    "late_delivery": [("traffic_index", operator.gt, 0.8, "Rule: traffic index above 0.8")],
+    "supplier_reliability": [
+        ("late_delivery_rate", operator.gt, 0.3, "Rule: observed late-delivery rate above 0.3 with at least 10 deliveries"),
+        ("recent_delay_events", operator.ge, 3, "Rule: at least three supplier delay events in the past seven days"),
+    ],
+}
 TRAIN, CALIBRATE, TEST = 720, 240, 240
 SOURCE_RULE, SOURCE_MODEL = "data_quality_rule_v1", "simulated_logistic_sigmoid_v1 + review_rules_v1"
 ASSUMPTION = "Simulated training data; not validated for real operations."
@@ -35,7 +53,7 @@ def simulated(kind: str, seed: int = SEED, size: int = TRAIN + CALIBRATE + TEST)
 
     def stockout():
         cover, age = rng.uniform(0, 40, size), rng.integers(0, 15, size)
-        return cover, age, cover < rng.normal(COVER_DAYS, 4, size) + 0.3 * age
+        return cover, age, cover < rng.normal(14, 4, size) + 0.3 * age
 
     def late_delivery():
         km, traffic = rng.uniform(50, 1000, size), rng.uniform(0, 1, size)
@@ -43,7 +61,7 @@ def simulated(kind: str, seed: int = SEED, size: int = TRAIN + CALIBRATE + TEST)
 
     def supplier_reliability():
         rate, n = rng.uniform(0, 1, size), rng.integers(5, 200, size)
-        return rate, n, rng.binomial(20, rate) > 20 * LATE_RATE
+        return rate, n, rng.binomial(20, rate) > 6
 
     draws = {"stockout": stockout, "late_delivery": late_delivery, "supplier_reliability": supplier_reliability}
     if kind not in draws:
@@ -103,42 +121,27 @@ def fit(kind: str) -> Model:
 
 
 
-MISSING_FRESH = "fresh inventory (at most 3 days old)"
-MISSING_SAMPLE = "at least 10 evaluable shipments"
-MISSING_EXCLUDED = "Resolve excluded shipment records before assessing supplier reliability."
+def _or_zero(name: str, columns: list[str]) -> Column:
+    return F.coalesce(F.col(name), F.lit(0)) if name in columns else F.lit(0)
 
 
 def missing_evidence(kind: str, columns: list[str]) -> Column:
     """Array of what stands in the way of a score, in order; empty if nothing does."""
-    col = lambda c, default: F.coalesce(F.col(c), F.lit(default)) if c in columns else F.lit(default)
-    bad = lambda c: F.col(c).isNull() | F.isnan(F.col(c).cast("double")) | (F.abs(F.col(c).cast("double")) == float("inf"))
+    value = lambda c: F.col(c).cast("double")
+    bad = lambda c: F.col(c).isNull() | F.isnan(value(c)) | (F.abs(value(c)) == float("inf"))
     reasons = [F.when(bad(c), c) for c in FEATURES[kind]]
-    flag = col("data_quality_flag", "ok")
-    reasons.append(F.when(flag != "ok", F.concat(F.lit("valid evidence: "), flag)))
-    if kind == "stockout":
-        reasons.append(F.when(col("inventory_age_days", 0) > FRESH_DAYS, MISSING_FRESH))
-    if kind == "supplier_reliability":
-        reasons += [F.when(col("evaluable_shipments", 0) < SAMPLE, MISSING_SAMPLE), F.when(col("missing_or_invalid_shipments", 0) > 0, MISSING_EXCLUDED)]
+    if "data_quality_flag" in columns:
+        flag = F.coalesce("data_quality_flag", F.lit("ok"))
+        reasons.append(F.when(flag != "ok", F.concat(F.lit("valid evidence: "), flag)))
+    reasons += [F.when(holds(_or_zero(c, columns), bound), text) for c, holds, bound, text in BLOCKERS[kind]]
     return F.array_compact(F.array(*reasons))
 
 
-def raised(kind: str, columns: list[str]) -> list[tuple[Column, str]]:
-    """Review rules that make a clean row high, whatever its score."""
-    rules = {
-        "stockout": [(F.col("days_of_cover") < COVER_DAYS, "Rule: fewer than 14 days of inventory coverage")],
-        "late_delivery": [(F.col("traffic_index") > TRAFFIC, "Rule: traffic index above 0.8")],
-        "supplier_reliability": [(F.col("late_delivery_rate") > LATE_RATE, "Rule: observed late-delivery rate above 0.3 with at least 10 deliveries")],
-    }[kind]
-    if kind == "supplier_reliability" and "recent_delay_events" in columns:
-        rules = [*rules, (F.coalesce("recent_delay_events", F.lit(0)) >= EVENTS, "Rule: at least three supplier delay events in the past seven days")]
-    return rules
-
-
 def assess(df: DataFrame, model: Model) -> DataFrame:
     """df with risk_type, risk_level, drivers, missing_information, recommended_review, source, assumptions."""
     kind, columns = model.kind, df.columns
     lacking = F.size("missing_information") > 0
-    rules = raised(kind, columns)
+    rules = [(holds(_or_zero(c, columns), bound), text) for c, holds, bound, text in RULES[kind]]
     by_rule = F.lit(False)
     for hit, _ in rules:
         by_rule = by_rule | hit
@@ -157,25 +160,14 @@ def assess_row(model: Model, row: dict) -> dict:
     features = [row.get(c) for c in FEATURES[kind]]
     missing = [c for c, v in zip(FEATURES[kind], features, strict=True) if v is None or not math.isfinite(v)]
     flag = row.get("data_quality_flag") or "ok"
-    missing += [f"valid evidence: {flag}"] * (flag != "ok")
-    if kind == "stockout":
-        missing += [MISSING_FRESH] * ((row.get("inventory_age_days") or 0) > FRESH_DAYS)
-    if kind == "supplier_reliability":
-        missing += [MISSING_SAMPLE] * ((row.get("evaluable_shipments") or 0) < SAMPLE)
-        missing += [MISSING_EXCLUDED] * ((row.get("missing_or_invalid_shipments") or 0) > 0)
+    missing += [f"valid evidence: {flag}"] if flag != "ok" else []
+    missing += [text for c, holds, bound, text in BLOCKERS[kind] if holds(row.get(c) or 0, bound)]
     level, drivers = "unknown", []
     if not missing:
-        hits = {
-            "stockout": [(features[0] < COVER_DAYS, "Rule: fewer than 14 days of inventory coverage")],
-            "late_delivery": [(features[1] > TRAFFIC, "Rule: traffic index above 0.8")],
-            "supplier_reliability": [
-                (features[0] > LATE_RATE, "Rule: observed late-delivery rate above 0.3 with at least 10 deliveries"),
-                ((row.get("recent_delay_events") or 0) >= EVENTS, "Rule: at least three supplier delay events in the past seven days"),
-            ],
-        }[kind]
+        hits = [text for c, holds, bound, text in RULES[kind] if holds(row.get(c) or 0, bound)]
         p = model.probability(*features)
-        level = "high" if any(h for h, _ in hits) or p >= HIGH else "medium" if p >= MEDIUM else "low"
-        drivers = [f"{c}={v}" for c, v in zip(FEATURES[kind], features, strict=True)] + [text for h, text in hits if h]
+        level = "high" if hits or p >= HIGH else "medium" if p >= MEDIUM else "low"
+        drivers = [f"{c}={v}" for c, v in zip(FEATURES[kind], features, strict=True)] + hits
     return {
         "risk_type": kind, "risk_level": level, "drivers": drivers, "evidence_rows": [dict(row)], "missing_information": missing,
         "recommended_review": level != "low", "source": SOURCE_RULE if missing else SOURCE_MODEL, "assumptions": [ASSUMPTION],

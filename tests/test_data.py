@@ -126,3 +126,17 @@ def test_files(spark, tmp_path):
     assert abs(shares["a"] - 7500) < 200
     with pytest.raises(ValueError):
         files.write_report(str(tmp_path / "r"), {"x": float("nan")})
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plans_push_filters_and_prune_columns(spark, store):
+    open_store(spark, store)
+    one = plan_of(spark.sql("SELECT shipment_id, is_late FROM shipment_view WHERE supplier_id = 'S1'"))
+    assert "EqualTo(supplier_id,S1)" in one and "distance_km" not in one
+    ranked = plan_of(spark.sql("SELECT product_id, on_hand FROM risk_view WHERE product_id = 'P1'"))
+    assert "EqualTo(product_id,P1)" in ranked and "WindowGroupLimit" in ranked and "CartesianProduct" not in ranked
+    recent = plan_of(spark.sql("SELECT product_id, avg_daily_demand FROM risk_view"))
+    assert "GreaterThan(demand_date" in recent
