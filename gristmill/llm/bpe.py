@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from gristmill.llm.common import sha256_hex, tune
 
 SHORT = 64
-CACHE_WORDS = 250_000
+#: Chunks and words that a task's caches hold, in each of two generations: about 100 MB.
+CACHE_CHUNKS, CACHE_WORDS = 100_000, 25_000
 #: Unicode white space. str.split() would also break at U+001C to U+001F, which are none.
 _WHITE = "\t-\r \x85\xa0  -     　"
 _ODD = regex.compile("[\x1c-\x1f]")
@@ -119,7 +120,7 @@ class WordBpe:
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.symbols = byte_symbols()
         self.words = Cache(self._word, CACHE_WORDS)
-        self.chunks = Cache(self._chunk, CACHE_WORDS)
+        self.chunks = Cache(self._chunk, CACHE_CHUNKS)
 
     def _word(self, word: str) -> tuple[str, ...]:
         symbols = [self.symbols[b] for b in word.encode()]

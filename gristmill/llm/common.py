@@ -11,10 +11,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gristmill.session import ship
+
 #: White space of the text contracts: space and U+0009 to U+000D.
 SPACES = " \t\n\v\f\r"
 #: Rows in one Arrow batch. Texts reach about 100 KB, so a batch stays in the tens of MB.
-BATCH_ROWS = 512
+BATCH_ROWS = 256
 #: A key is hot when it holds more than one part in HOT_PARTS of all rows; at most HOT_PARTS keys can be.
 HOT_PARTS = 1000
 
@@ -23,6 +25,7 @@ def tune(spark: SparkSession) -> None:
     """Session settings that the Python stages rely on: small Arrow batches and an adaptive plan."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.adaptive.enabled", "true")
+    ship(spark)
 
 
 def shared_folder(spark: SparkSession) -> str:

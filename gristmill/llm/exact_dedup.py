@@ -119,16 +119,36 @@ def repeat_filter(hashes: DataFrame, rows: int, max_slots: int = MAX_SLOTS) -> t
     return bits, slots
 
 
-def tester(spark, bits: np.ndarray, slots: int):
-    """pandas UDF on digests: may the digest be repeated?"""
-    shared = spark.sparkContext.broadcast(bits)
+class Tester:
+    """Broadcast filter: which hexadecimal digests may be repeated?"""
 
-    @F.pandas_udf("boolean")
-    def maybe_repeated(sha: pd.Series) -> pd.Series:
-        at = slots_of(np.array([int(x[:16], 16) for x in sha], dtype=np.uint64), slots)
-        return pd.Series(((shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0))
+    def __init__(self, spark, bits: np.ndarray, slots: int):
+        self.shared, self.slots = spark.sparkContext.broadcast(bits), slots
 
-    return maybe_repeated
+    def __call__(self, digests) -> np.ndarray:
+        at = slots_of(np.array([int(x[:16], 16) for x in digests], dtype=np.uint64), self.slots)
+        return ((self.shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0)
+
+    def column(self, sha: str) -> Column:
+        test = self
+
+        @F.pandas_udf("boolean")
+        def maybe_repeated(digests: pd.Series) -> pd.Series:
+            return pd.Series(test(digests))
+
+        return maybe_repeated(sha)
+
+    def with_digest(self, text: str) -> Column:
+        """sha, n and maybe of a text in one UDF, so that a task needs one Python worker."""
+        test = self
+
+        @F.pandas_udf("sha string, n long, maybe boolean")
+        def digest(texts: pd.Series) -> pd.DataFrame:
+            found = [normal_digest(x) for x in texts]
+            sha = [d.hex() for d, _ in found]
+            return pd.DataFrame({"sha": sha, "n": [n for _, n in found], "maybe": test(sha)}, columns=["sha", "n", "maybe"])
+
+        return digest(text)
 
 
 def _first(count: Column) -> list[Column]:
@@ -141,8 +161,8 @@ def _survey(thin: DataFrame, max_slots: int):
     """The tester, and the suspects' groups: sha, best, group_size."""
     rows = thin.count()
     bits, slots = repeat_filter(thin.select("sha"), rows, max_slots)
-    maybe = tester(thin.sparkSession, bits, slots)
-    suspects = materialize(thin.where(maybe("sha")).groupBy("sha", "doc_id", "n").agg(F.count("*").alias("alike")), "exact-suspects")
+    maybe = Tester(thin.sparkSession, bits, slots)
+    suspects = materialize(thin.where(maybe.column("sha")).groupBy("sha", "doc_id", "n").agg(F.count("*").alias("alike")), "exact-suspects")
     return rows, maybe, suspects, suspects.groupBy("sha").agg(*_first(F.sum("alike")))
 
 
@@ -152,7 +172,7 @@ def exact_groups(docs: DataFrame, max_slots: int = MAX_SLOTS) -> DataFrame:
     found = docs.select("doc_id", _digest("text").alias("_d"))
     thin = materialize(found.select("doc_id", "_d.sha", "_d.n"), "exact-thin")
     rows, maybe, suspects, groups = _survey(thin, max_slots)
-    alone = thin.where(~maybe("sha")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
+    alone = thin.where(~maybe.column("sha")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
     groups = materialize(groups.withColumn("weight", F.col("group_size")), "exact-groups")
     joined = lookup(suspects, groups, "sha", "weight", rows)
     stays = (F.col("best.doc_id").eqNullSafe(F.col("doc_id"))) & (F.col("best.shorter") == -F.col("n"))
@@ -165,10 +185,9 @@ def exact_groups(docs: DataFrame, max_slots: int = MAX_SLOTS) -> DataFrame:
 def drop_exact_copies(docs: DataFrame, max_slots: int = MAX_SLOTS) -> DataFrame:
     """docs' rows and columns, one row for each normalised text."""
     tune(docs.sparkSession)
-    hashed = docs.select(F.struct("*").alias("_row"), _digest("text").alias("_d"))
-    thin = materialize(hashed.select("_row.doc_id", "_d.sha", "_d.n"), "exact-thin")
+    thin = materialize(docs.select("doc_id", _digest("text").alias("_d")).select("doc_id", "_d.sha", "_d.n"), "exact-thin")
     _, maybe, _, groups = _survey(thin, max_slots)
-    flat = hashed.select("_row", "_d.sha", "_d.n").withColumn("_maybe", maybe("sha"))
+    flat = docs.select(F.struct("*").alias("_row"), maybe.with_digest("text").alias("_d")).select("_row", "_d.sha", "_d.n", F.col("_d.maybe").alias("_maybe"))
     best = groups.select("sha", (-F.col("best.shorter")).alias("n"), F.col("best.doc_id").alias("doc_id"))
     suspects = flat.where("_maybe").alias("a")
     stay = suspects.join(best.alias("b"), (F.col("a.sha") == F.col("b.sha")) & (F.col("a.n") == F.col("b.n")) & F.col("a._row.doc_id").eqNullSafe(F.col("b.doc_id")), "left_semi")

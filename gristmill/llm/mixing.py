@@ -81,7 +81,7 @@ def rates(counts: DataFrame, goals: DataFrame, rounds: int = ROUNDS) -> DataFram
         if not after.where("moving").limit(1).count():
             break
     one = F.lit(float(MOST)) / (1.0 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), tilt()))))
-    return counts.join(now, "sid").select("sid", "size", "n", F.when(F.col("fixed"), F.col("fixed_rate")).otherwise(one).alias("rate"))
+    return counts.join(now, "sid").select("sid", "size", "n", F.when(F.col("fixed"), F.col("fixed_rate")).otherwise(F.round(one, 9)).alias("rate"))  # sums in another order change nothing
 
 
 def copies(rated: DataFrame) -> DataFrame:

@@ -31,9 +31,9 @@ EPOCHS = 6
 RATE = 2.0
 #: Step of the vectors against that of the output layer. Averages over hundreds of features move little at 1.
 GAIN = 20.0
-TRAIN_ROWS = 6000
+TRAIN_ROWS = 5000
 THRESHOLD = 0.3
-WINDOW = 1 << 20
+WINDOW = 1 << 18
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x100000001B3
 _SPACE = np.zeros(256, bool)
@@ -128,12 +128,12 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS, ra
     rng = np.random.default_rng(seed)
     vectors = ((rng.random((BUCKETS, dim)) - 0.5) * 2 / dim).astype(np.float32)
     out, bias = np.zeros((dim, 2), np.float32), np.zeros(2, np.float32)
-    rows = [(at, (n / n.sum()).astype(np.float32) if len(n) else n, y) for at, n, y in rows]
     steps = max(1, epochs * len(rows))
     done = 0
     for _ in range(epochs):
         for k in rng.permutation(len(rows)):
-            at, share, y = rows[k]
+            at, n, y = rows[k]
+            share = n / max(1.0, float(n.sum()))
             step = rate * (1 - done / steps)
             done += 1
             held = vectors[at]

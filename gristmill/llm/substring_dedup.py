@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -26,12 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import lookup, map_batches, materialize, tune
-from gristmill.llm.exact_dedup import MAX_SLOTS, repeat_filter, tester
+from gristmill.llm.exact_dedup import MAX_SLOTS, Tester, repeat_filter
 
 RUN = 2
 MIN_WORDS = 16
 LONG = 50
 LAST_ID = 2**63 - 1
+RUNS = "sha string, id long, first int, last int, again boolean"
 #: A sentence ends after marks before white space, or at a line's end.
 _SENTENCE = re.compile(r"[^\n]+?(?:[.!?]+(?=\s)|(?=\n)|$)\s*|\s+")
 
@@ -65,7 +67,9 @@ def runs(text: str | None) -> list[tuple[bytes, int, int]]:
     return [(xxhash.xxh3_128_digest("\n".join(folded[a:b]).encode()), real[a], real[b - 1] + 1) for a, b in spans]
 
 
-def _run_rows():
+def _run_rows(maybe: Tester | None = None):
+    """Runs of a batch of (id, text); with a tester, only those that may repeat."""
+
     def work(batch: pa.RecordBatch):
         sha, ids, first, last, again = [], [], [], [], []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -77,7 +81,8 @@ def _run_rows():
                 ids.append(doc_id)
                 first.append(a)
                 last.append(b)
-        yield pa.RecordBatch.from_arrays([pa.array(sha, pa.string()), pa.array(ids, pa.int64()), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(again, pa.bool_())], names=["sha", "id", "first", "last", "again"])
+        found = pa.RecordBatch.from_arrays([pa.array(sha, pa.string()), pa.array(ids, pa.int64()), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(again, pa.bool_())], names=["sha", "id", "first", "last", "again"])
+        yield found.filter(pa.array(maybe(sha) | np.array(again, bool))) if maybe and sha else found
 
     return work
 
@@ -102,11 +107,11 @@ def clean(text: str | None, ranges) -> tuple[str | None, int, int, str]:
 def repeated_ranges(docs: DataFrame, max_slots: int = MAX_SLOTS) -> DataFrame:
     """id (doc_id, LAST_ID for null) and ranges: sentence ranges of the document that repeat earlier ones."""
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), "text")
-    every = map_batches(keyed, _run_rows, "sha string, id long, first int, last int, again boolean")
+    every = map_batches(keyed, _run_rows, RUNS)
     total = every.agg(F.count("*")).first()[0] if max_slots < MAX_SLOTS else _estimate(docs)
     bits, slots = repeat_filter(every.where("not again").select("sha"), total, max_slots)
-    maybe = tester(docs.sparkSession, bits, slots)
-    suspects = materialize(every.where(F.col("again") | maybe("sha")), "runs")
+    maybe = Tester(docs.sparkSession, bits, slots)
+    suspects = materialize(map_batches(keyed, lambda: _run_rows(maybe), RUNS), "runs")
     held = suspects.groupBy("sha").agg(F.min("id").alias("owner"), F.max("id").alias("other"), F.count("*").alias("weight"))
     repeated = materialize(held.where("owner < other").drop("other"), "repeated-runs")
     rows = repeated.agg(F.sum("weight")).first()[0] or 0

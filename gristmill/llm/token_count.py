@@ -37,7 +37,7 @@ from gristmill.llm.common import tune
 MAX_STATES = 400_000
 CHUNK = 64
 LEAD = 4
-WINDOW_CHARS = 2_000_000
+WINDOW_CHARS = 500_000
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 #: White space of the split pattern.
 _WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
