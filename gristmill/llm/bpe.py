@@ -20,6 +20,7 @@ import heapq
 import json
 import unicodedata
 from collections.abc import Callable
+from typing import Iterator
 
 import pandas as pd
 import regex
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 from gristmill.llm.common import sha256_hex, tune
 
 SHORT = 64
-#: Chunks and words that a task's caches hold, in each of two generations: about 100 MB.
-CACHE_CHUNKS, CACHE_WORDS = 100_000, 25_000
+#: Chunks and words that a worker's caches hold, in each of two generations: about 150 MB.
+CACHE_CHUNKS, CACHE_WORDS = 220_000, 25_000
 #: Unicode white space. str.split() would also break at U+001C to U+001F, which are none.
 _WHITE = "\t-\r \x85\xa0  -     　"
 _ODD = regex.compile("[\x1c-\x1f]")
@@ -62,47 +63,61 @@ class Cache(dict):
         return found
 
 
-def merge_short(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
-    """BPE of a word by repeated scans of a contiguous rank array."""
-    end = 1 << 60
-    starts = list(range(len(symbols) + 1))
-    parts = symbols
-    near = [ranks.get(pair, end) for pair in zip(parts, parts[1:])]
+#: A merge is one number, rank * SHIFT + the id it makes, found by left id * SHIFT + right id. No merge is END.
+SHIFT = 1 << 20
+END = 1 << 60
+
+
+def merge_short(parts: list[int], merges: dict[int, int]) -> list[int]:
+    """BPE of a word's symbol ids by repeated scans of a contiguous rank array.
+
+    parts[i] is the part before boundary i, near[i] the merge over that boundary.
+    """
+    rank = merges.get
+    near = [rank(a * SHIFT + b, END) for a, b in zip(parts, parts[1:])]
     while near:
         least = min(near)
-        if least == end:
+        if least == END:
             break
         i = near.index(least)
-        parts = parts[:i] + [parts[i] + parts[i + 1]] + parts[i + 2 :]
-        del starts[i + 1], near[i]
+        new = parts[i] = least % SHIFT
+        del parts[i + 1], near[i]
         if i:
-            near[i - 1] = ranks.get((parts[i - 1], parts[i]), end)
+            near[i - 1] = rank(parts[i - 1] * SHIFT + new, END)
         if i < len(near):
-            near[i] = ranks.get((parts[i], parts[i + 1]), end)
+            near[i] = rank(new * SHIFT + parts[i + 1], END)
     return parts
 
 
-def merge_long(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
+def merge_long(parts: list[int], merges: dict[int, int]) -> list[int]:
     """The same merges through a heap over a linked list, in n log n steps."""
-    n = len(symbols)
-    parts, left, right = list(symbols), list(range(-1, n - 1)), [*range(1, n), -1]
-    heap = [(ranks[p], i, *p) for i, p in enumerate(zip(parts, parts[1:])) if p in ranks]
+    n = len(parts)
+    parts, left, right = list(parts), list(range(-1, n - 1)), [*range(1, n), -1]
+    pair = lambda i, j: parts[i] * SHIFT + parts[j]
+    heap = [(merges[p], i, p) for i in range(n - 1) if (p := pair(i, i + 1)) in merges]
     heapq.heapify(heap)
     while heap:
-        _, i, a, b = heapq.heappop(heap)
-        j = right[i] if parts[i] == a else -1
-        if j < 0 or parts[j] != b:
+        move, i, was = heapq.heappop(heap)
+        j = right[i] if parts[i] is not None else -1
+        if j < 0 or pair(i, j) != was:
             continue
-        parts[i], parts[j] = a + b, None
+        parts[i], parts[j] = move % SHIFT, None
         right[i] = right[j]
         if right[j] >= 0:
             left[right[j]] = i
         for x, y in ((left[i], i), (i, right[i])):
-            if x >= 0 and y >= 0 and (pair := (parts[x], parts[y])) in ranks:
-                heapq.heappush(heap, (ranks[pair], x, *pair))
+            if x >= 0 and y >= 0 and (p := pair(x, y)) in merges:
+                heapq.heappush(heap, (merges[p], x, p))
     return [p for p in parts if p is not None]
 
 
+def merge_table(model: dict) -> dict[int, int]:
+    """The merges of a tokenizers BPE model by pair of ids."""
+    vocab = model["vocab"]
+    pairs = (m.split(" ", 1) if isinstance(m, str) else m for m in model["merges"])
+    return {vocab[a] * SHIFT + vocab[b]: i * SHIFT + vocab[a + b] for i, (a, b) in enumerate(pairs)}
+
+
 class WordBpe:
     """Encoder and decoder of one tokenizer file."""
 
@@ -112,26 +127,32 @@ class WordBpe:
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model["end_of_word_suffix"] or ""
-        pairs = (m.split(" ", 1) if isinstance(m, str) else m for m in model["merges"])
-        self.ranks = {(a, b): i for i, (a, b) in enumerate(pairs)}
+        self.merges = merge_table(model)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in [*self.vocab.items(), *self.special.items()]}
         self.split = regex.compile(next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"].replace(r"\s", _WHITE))
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.symbols = byte_symbols()
+        self.inner = [self.vocab[c] for c in self.symbols]
+        self.last = [self.vocab[c + self.suffix] for c in self.symbols]
+        self.forget()
+
+    def forget(self) -> None:
         self.words = Cache(self._word, CACHE_WORDS)
         self.chunks = Cache(self._chunk, CACHE_CHUNKS)
 
-    def _word(self, word: str) -> tuple[str, ...]:
-        symbols = [self.symbols[b] for b in word.encode()]
-        symbols[-1] += self.suffix
-        return tuple((merge_short if len(symbols) <= SHORT else merge_long)(symbols, self.ranks))
+    def _word(self, word: str) -> list[int]:
+        data = word.encode()
+        parts = [self.inner[b] for b in data]
+        parts[-1] = self.last[data[-1]]
+        return (merge_short if len(parts) <= SHORT else merge_long)(parts, self.merges)
 
-    def _chunk(self, chunk: str) -> tuple[str, str, int]:
-        """Ids and tokens, each joined by spaces, and their number, of normalised text without white space."""
+    def _chunk(self, chunk: str) -> tuple[str, str]:
+        """Ids and tokens, each joined by spaces, of normalised text without white space."""
         found = self.split.findall(chunk)
-        tokens = self._word(chunk) if found == [chunk] else [t for word in found for t in self.words[word]]
-        return " ".join([str(self.vocab[t]) for t in tokens]), " ".join(tokens), len(tokens)
+        ids = self._word(chunk) if found == [chunk] else [i for word in found for i in self.words[word]]
+        names = self.names
+        return " ".join(map(str, ids)), " ".join([names[i] for i in ids])
 
     def encode(self, text: str | None) -> tuple[str, str, int]:
         """Decimal ids joined by spaces, the decoded text, and the number of ids, of a whole text."""
@@ -141,15 +162,15 @@ class WordBpe:
         rows = []
         for i, part in enumerate(parts):
             if i % 2:
-                rows.append((str(self.special[part]), part, 1))
+                rows.append((str(self.special[part]), part))
                 continue
             # the final-sigma rule of str.lower() looks at neighbours; the library maps each letter alone
             folded = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
             pieces = _CHUNK.findall(folded) if _ODD.search(folded) else folded.split()
             # a long piece is passed by, not kept
             rows += [self.chunks[p] if len(p) <= 256 else self._chunk(p) for p in pieces] if max(map(len, pieces), default=0) > 256 else map(self.chunks.__getitem__, pieces)
-        rows = [r for r in rows if r[2]]
-        return " ".join([r[0] for r in rows]), " ".join([r[1] for r in rows]), sum([r[2] for r in rows])
+        ids = " ".join([r[0] for r in rows if r[0]])
+        return ids, " ".join([r[1] for r in rows if r[0]]), ids.count(" ") + 1 if ids else 0
 
     def decode(self, ids: list[int]) -> str:
         """Token strings joined by spaces: the file names no decoder, so byte symbols and word ends stay."""
@@ -188,13 +209,15 @@ def encoded(docs: DataFrame, path: str, text: str = "text", ids: bool = True) ->
     kind = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
 
     @F.pandas_udf(kind)
-    def bpe(texts: pd.Series) -> pd.DataFrame:
+    def bpe(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = opened(path)
-        rows = []
-        for x in texts:
-            found, decoded, n = model.encode(x)
-            rows.append((n, sha256_hex(found), sha256_hex(decoded)) + (([int(i) for i in found.split()],) if ids else ()))
-        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * ids)
+        for texts in batches:
+            rows = []
+            for x in texts:
+                found, decoded, n = model.encode(x)
+                rows.append((n, sha256_hex(found), sha256_hex(decoded)) + (([int(i) for i in found.split()],) if ids else ()))
+            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * ids)
+        model.forget()  # a worker that goes on to other stages does not keep the words
 
     return docs.select(F.struct("*").alias("_row"), bpe(text).alias("bpe")).select("_row.*", "bpe")
 

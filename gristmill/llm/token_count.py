@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.bpe import byte_symbols, merge_long, merge_short
+from gristmill.llm.bpe import byte_symbols, merge_long, merge_short, merge_table
 from gristmill.llm.common import tune
 
 MAX_STATES = 400_000
@@ -157,14 +157,14 @@ class Counter:
         model = spec["model"]
         self.symbols = byte_symbols()
         to_byte = {s: b for b, s in enumerate(self.symbols)}
-        pairs = (tuple(m.split(" ", 1)) if isinstance(m, str) else tuple(m) for m in model["merges"])
-        self.ranks = {p: i for i, p in enumerate(pairs)}
+        self.merges = merge_table(model)
+        self.vocab = model["vocab"]
         self.special = [t["content"] for t in spec["added_tokens"]]
-        self.names = list(model["vocab"])
+        self.names = {i: t for t, i in self.vocab.items()}
         # trie of the tokens that their own encoding yields, over bytes: children, and the token that ends here
         self.kids: list[dict[int, int]] = [{}]
         self.ends: list[int] = [-1]
-        for t, name in enumerate(self.names):
+        for t, name in self.names.items():
             if any(c not in to_byte for c in name):
                 continue
             at = 0
@@ -228,9 +228,9 @@ class Counter:
 
     def _fits(self, a: int, b: int) -> bool:
         """Is (a, b) the encoding of its own text? a -1: b alone."""
-        names = [self.names[x] for x in (a, b) if x >= 0]
-        word = list("".join(names))
-        return (merge_short if len(word) <= 64 else merge_long)(word, self.ranks) == names
+        tokens = [x for x in (a, b) if x >= 0]
+        parts = [self.vocab[c] for x in tokens for c in self.names[x]]
+        return (merge_short if len(parts) <= 64 else merge_long)(parts, self.merges) == tokens
 
     def compile(self, state: int, byte: int) -> None:
         """Add the transition: close the token that ends here, keep the suffixes that can grow."""
