@@ -30,7 +30,7 @@ def tune(spark: SparkSession) -> None:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir. Only a local session may go without: it gets a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import SPACES, lookup, map_batches, materialize, tune
+from gristmill.llm.common import SPACES, lookup, materialize, tune
 
 SLOTS_PER_ROW = 12
 PROBES = 3
