@@ -27,6 +27,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,17 +111,19 @@ def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _valid(batch: pa.RecordBatch):
-    ids, rows, norms, dims = [], [], [], []
-    for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-        if i is None or not v or any(x is None for x in v):
-            continue
-        x = np.array(v, np.float64)
-        if np.isfinite(x).all() and x.any() and np.isfinite(n := float(np.linalg.norm(x))) and n > 0:
-            ids.append(i)
-            rows.append((x + 0.0).tobytes())  # -0.0 and 0.0 are one value
-            norms.append(n)
-            dims.append(len(x))
-    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.binary()), pa.array(norms, pa.float64()), pa.array(dims, pa.int32())], names=["vec_id", "v", "norm", "dim"])
+    """The rows that take part, as bytes of doubles, with norms and lengths; all tests run on the flattened batch."""
+    column, given = batch.column(1), batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = pc.fill_null(column.flatten().cast(pa.float64()), float("nan")).to_numpy(zero_copy_only=False) + 0.0  # -0.0 and 0.0 are one value
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    finite = np.isfinite(flat)
+    count = lambda weights: np.bincount(owner, weights, minlength=len(sizes))
+    with np.errstate(over="ignore"):
+        norms = np.sqrt(count(np.where(finite, flat, 0.0) ** 2))
+    good = np.flatnonzero(given & (sizes > 0) & (count(~finite) == 0) & np.isfinite(norms) & (norms > 0))
+    ends = np.cumsum(sizes)
+    rows = [flat[ends[i] - sizes[i] : ends[i]].tobytes() for i in good]
+    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(good)), pa.array(rows, pa.binary()), pa.array(norms[good]), pa.array(sizes[good].astype(np.int32))], names=["vec_id", "v", "norm", "dim"])
 
 
 def _top(scores: np.ndarray, k: int) -> np.ndarray:
