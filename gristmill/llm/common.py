@@ -48,9 +48,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_WRITTEN: list[str] = []
+
+
+def written() -> list[str]:
+    """Paths of the tables that materialize() wrote in this process and discard() has not deleted."""
+    return list(_WRITTEN)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete materialized tables that no plan reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _WRITTEN.remove(path)
+
+
 def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, total: int) -> DataFrame:
     """Inner join of left with right, one row of right for each key, safe against hot keys.
 

@@ -7,7 +7,6 @@ import re
 import numpy as np
 import pytest
 import public_tokenizers as P
-from conftest import SF as _  # noqa: F401
 from oracle import compare
 from tokenizers import Tokenizer
 

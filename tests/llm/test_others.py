@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gristmill.llm import ann, chat, exact_dedup, mixing, queries, simhash
-from gristmill.llm.common import documents
+from gristmill.llm.common import documents, written
 
 SF = "/root/testdata/sf0.001"
 
@@ -133,7 +133,9 @@ def test_pipeline(spark, docs, tmp_path):
     assert copies == {i: n for i, n in plan.items() if n}
     assert sorted(ids["bpe"]) == sorted(ids["mixing"])
     assert steps["bpe"].where(F.size("ids") != F.col("n_tokens")).count() == 0
+    before = len(written())
     assert corpus_pipeline.run(spark, SF).count() == len(ids["bpe"])
+    assert len(written()) == before + 1
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns
         assert stage(spark, docs.where("false"), SF).count() == 0
