@@ -52,6 +52,26 @@ class Retriever:
         return {"backend": self.backend, "views": {v: VIEWS[v] for v in best}, "metrics": METRICS, "aliases": {v: ALIASES[v] for v in best}, "allowed_joins": JOINS}
 
 
+class DenseRetriever(Retriever):
+    """Ranks the views by cosine under a given encoder (a function from texts to vectors). The prefix goes before questions only."""
+
+    backend = "dense"
+
+    def __init__(self, encode, prefix: str = "", documents: dict[str, str] | None = None):
+        self.encode, self.prefix = encode, prefix
+        texts = documents or view_documents()
+        self.rows = dict(zip(texts, map(self._normal, encode(list(texts.values()))), strict=True))
+
+    @staticmethod
+    def _normal(vector) -> list[float]:
+        norm = math.sqrt(sum(x * x for x in vector)) or 1.0
+        return [x / norm for x in vector]
+
+    def scores(self, question: str) -> dict[str, float]:
+        q = self._normal(self.encode([self.prefix + question])[0])
+        return {k: sum(a * b for a, b in zip(q, v, strict=True)) for k, v in self.rows.items()}
+
+
 def tokens(text: str) -> Column:
     """Array of words and word pairs of a text column."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))

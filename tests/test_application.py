@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gristmill import __main__ as cli
 from gristmill import evaluate as ev
+from gristmill import harness as hs
 from gristmill.audit import GENESIS, AuditLog, broken_links, canonical, current_actions, digest, verify_events
 from gristmill.console import Console
 from gristmill.operators.fixtures import QUERY_FIXTURES, apply_fixture
@@ -195,3 +196,30 @@ def test_stream_equals_batch(spark, tmp_path):
     run_to(stream, "delays", str(tmp_path / "cp"), "complete")
     at = spark.table("delays").where(F.col("window_end").cast("date") == F.lit("2026-10-01").cast("date")).collect()
     assert [(r.supplier_id, r.recent_delay_events) for r in at] == [("S1", 8)]
+
+
+def test_behaviours_and_planner_comparison(spark, store, tmp_path):
+    missing = str(tmp_path / "missing")
+    build_store(spark, missing, apply_fixture("missing_promised_date", synthetic_tables(spark)))
+    console = Console(spark, store)
+    console.audit = AuditLog(spark, str(tmp_path / "log"))
+    seen = hs.run_behaviours(spark, {"base": console}, {"base": store, "missing": missing}, repeats=1, timeout=60).cache()
+    wrong = [(r.case, r.expected, r.status) for r in seen.where("status <> expected").collect()]
+    assert [w for w in wrong if w[0] != "stockout"] == []  # whether anything runs low is up to the data
+    rates = {r.metric: (r.numerator, r.denominator) for r in hs.metrics(seen).where("category = 'all'").collect()}
+    assert rates["unsafe_refused"] == (2, 2) and rates["as_expected"][1] == 12
+    assert console.audit.verify()["event_count"] == 12
+    cases = hs.labelled(["Why is Supplier B considered high risk?", "Show shipments for Supplier A", "What is the weather?", "Delete all orders"])
+    from gristmill.plans.planner import RulePlanner
+
+    progress = tmp_path / "progress.jsonl"
+    both = hs.compare_planners(spark, {"rules": RulePlanner(), "none": UnavailablePlanner("x")}, cases, progress=str(progress), timeout=60).cache()
+    got = {(r.arm, r.metric): (r.numerator, r.denominator) for r in hs.metrics(both).where("category = 'all'").collect()}
+    assert got["rules", "plan_exact"] == (4, 4) and got["none", "plan_exact"] == (0, 4)
+    assert got["rules", "answer_is_gold"] == got["none", "answer_is_gold"] == (2, 2)
+    assert got["none", "fallbacks"] == (4, 4) and got["rules", "negatives_abstained"] == (2, 2) == got["none", "negatives_abstained"]
+    assert len(progress.read_text().splitlines()) == 8
+    late = {r.arm: r for r in hs.latencies(both).collect()}
+    assert late["rules"].calls == 4 and late["rules"].p95 is None and late["rules"].minimum <= late["rules"].median <= late["rules"].maximum
+    with pytest.raises(ValueError):
+        hs.compare_planners(spark, {"rules": RulePlanner()}, cases, repeats=21)

@@ -5,7 +5,7 @@ import json
 
 import pytest
 
-from gristmill.functions.retrieval import Retriever
+from gristmill.functions.retrieval import DenseRetriever, Retriever
 from gristmill.plans.grammar import Reader, normalize, read_slots, request_plan
 from gristmill.plans.query_plan import INTENTS, PlanError, check_compiled, compile_plan, make_plan, parse_output, validate
 
@@ -148,3 +148,11 @@ def test_retrieval_ranks_the_right_view():
     assert top("forecast daily units sales") == "demand_view"
     assert top("supplier reliability why") == "supplier_view"
     assert len(Retriever().retrieve("anything")["views"]) == 3
+
+
+def test_dense_retrieval():
+    words = ["stock", "late", "forecast", "reliability"]
+    encode = lambda texts: [[float(t.lower().count(w)) for w in words] for t in texts]
+    found = DenseRetriever(encode, "search: ").retrieve("forecast of sales")
+    assert found["backend"] == "dense" and len(found["views"]) == 3
+    assert max(DenseRetriever(encode).scores("late late").values()) <= 1 + 1e-9
