@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 from gristmill.llm.common import sha256_hex, tune
 
 SHORT = 64
-#: Chunks and words that a worker's caches hold, in each of two generations: about 150 MB.
-CACHE_CHUNKS, CACHE_WORDS = 220_000, 25_000
+#: Chunks that a worker's cache holds, in each of two generations, about 150 MB; longer ones are never kept.
+CACHE_CHUNKS = 220_000
+LONGEST = 256
 #: Unicode white space. str.split() would also break at U+001C to U+001F, which are none.
 _WHITE = "\t-\r \x85\xa0  -     　"
 _ODD = regex.compile("[\x1c-\x1f]")
@@ -138,7 +139,6 @@ class WordBpe:
         self.forget()
 
     def forget(self) -> None:
-        self.words = Cache(self._word, CACHE_WORDS)
         self.chunks = Cache(self._chunk, CACHE_CHUNKS)
 
     def _word(self, word: str) -> list[int]:
@@ -148,12 +148,21 @@ class WordBpe:
         return (merge_short if len(parts) <= SHORT else merge_long)(parts, self.merges)
 
     def _chunk(self, chunk: str) -> tuple[str, str]:
-        """Ids and tokens, each joined by spaces, of normalised text without white space."""
-        found = self.split.findall(chunk)
-        ids = self._word(chunk) if found == [chunk] else [i for word in found for i in self.words[word]]
-        names = self.names
+        """Ids and tokens, each joined by spaces, of normalised text without white space.
+
+        Words of a mixed chunk are looked up by themselves, so a word is merged once whatever it is written next to.
+        """
+        found = [chunk] if chunk.isalpha() else self.split.findall(chunk)
+        if found != [chunk]:
+            rows = [self.kept(word) for word in found]
+            return " ".join([r[0] for r in rows]), " ".join([r[1] for r in rows])
+        ids, names = self._word(chunk), self.names
         return " ".join(map(str, ids)), " ".join([names[i] for i in ids])
 
+    def kept(self, chunk: str) -> tuple[str, str]:
+        """As _chunk, through the cache; a long piece is passed by, not kept."""
+        return self.chunks[chunk] if len(chunk) <= LONGEST else self._chunk(chunk)
+
     def encode(self, text: str | None) -> tuple[str, str, int]:
         """Decimal ids joined by spaces, the decoded text, and the number of ids, of a whole text."""
         if not text:
@@ -167,8 +176,7 @@ class WordBpe:
             # the final-sigma rule of str.lower() looks at neighbours; the library maps each letter alone
             folded = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
             pieces = _CHUNK.findall(folded) if _ODD.search(folded) else folded.split()
-            # a long piece is passed by, not kept
-            rows += [self.chunks[p] if len(p) <= 256 else self._chunk(p) for p in pieces] if max(map(len, pieces), default=0) > 256 else map(self.chunks.__getitem__, pieces)
+            rows += map(self.kept if max(map(len, pieces), default=0) > LONGEST else self.chunks.__getitem__, pieces)
         ids = " ".join([r[0] for r in rows if r[0]])
         return ids, " ".join([r[1] for r in rows if r[0]]), ids.count(" ") + 1 if ids else 0
 
