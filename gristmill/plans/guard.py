@@ -24,6 +24,11 @@ EXPRESSIONS = {
     "And", "Or", "Not", "EqualTo", "EqualNullSafe", "LessThan", "LessThanOrEqual", "GreaterThan", "GreaterThanOrEqual", "Between", "In", "Like", "IsNull", "IsNotNull", "IsTrue", "IsFalse",
     "Add", "Subtract", "Multiply", "Divide", "Remainder", "UnaryMinus", "UnaryPositive", "SortOrder", "NamedParameter", "UnresolvedOrdinal",
 }
+#: Allowed only where the caller asks for analytic statements: aggregates over windows, and grouping sets.
+ANALYTIC = {
+    "WindowExpression", "UnresolvedWindowExpression", "WindowSpecDefinition", "SpecifiedWindowFrame", "UnspecifiedFrame", "UnboundedPreceding", "UnboundedFollowing", "CurrentRow",
+    "Rollup", "Cube", "GroupingSets",
+}
 JOIN_KINDS = {"Inner", "LeftOuter", "RightOuter", "FullOuter", "LeftSemi", "LeftAnti"}
 _PAIRS = {frozenset(pair) for pair in JOINS}
 #: Quoted text, quoted identifiers, comments, or a $name to rewrite.
@@ -55,7 +60,8 @@ def _name(node) -> str:
 
 
 class _Walk:
-    def __init__(self):
+    def __init__(self, expressions: set[str] = EXPRESSIONS):
+        self.allowed = expressions
         self.tables: dict[str, str] = {}  # alias to view
         self.relations = 0
         self.parameters: set[str] = set()
@@ -132,7 +138,7 @@ class _Walk:
 
     def expression(self, expr) -> None:
         kind = _name(expr)
-        if kind not in EXPRESSIONS:
+        if kind not in self.allowed:
             raise SQLBlocked(f"{kind} is not allowed")
         if kind == "UnresolvedFunction":
             parts = _items(expr.nameParts())
@@ -164,8 +170,8 @@ class _Walk:
                 raise SQLBlocked(f"{' = '.join(sorted(full))} is not in the join catalog")
 
 
-def guard(spark: SparkSession, sql: str, parameters: dict | None = None, row_limit: int = ROW_LIMIT) -> GuardedSQL:
-    """The statement with its parameters and effective limit, or SQLBlocked."""
+def guard(spark: SparkSession, sql: str, parameters: dict | None = None, row_limit: int = ROW_LIMIT, analytic: bool = False) -> GuardedSQL:
+    """The statement with its parameters and effective limit, or SQLBlocked. analytic: windows and grouping sets pass too."""
     parameters = dict(parameters or {})
     if not isinstance(sql, str) or not sql.strip() or len(sql) > MAX_CHARS:
         raise SQLBlocked("SQL must be non-blank text of at most 12,000 characters")
@@ -176,7 +182,7 @@ def guard(spark: SparkSession, sql: str, parameters: dict | None = None, row_lim
         bare = _LEXEME.sub(" ", text).strip().lower()
         if not bare.startswith("select") or "|>" in bare:
             raise SQLBlocked("one SELECT statement is required")
-        walk = _Walk()
+        walk = _Walk(EXPRESSIONS | ANALYTIC if analytic else EXPRESSIONS)
         walk.statement(spark._jsparkSession.sessionState().sqlParser().parsePlan(text))
         if not 1 <= walk.relations <= MAX_TABLES:
             raise SQLBlocked(f"1 to {MAX_TABLES} tables are allowed")
@@ -191,9 +197,9 @@ def guard(spark: SparkSession, sql: str, parameters: dict | None = None, row_lim
     return GuardedSQL(text, parameters, row_limit if walk.limit is None else min(walk.limit, row_limit))
 
 
-def guarded_frame(spark: SparkSession, sql: str, parameters: dict | None = None, row_limit: int = ROW_LIMIT) -> DataFrame:
+def guarded_frame(spark: SparkSession, sql: str, parameters: dict | None = None, row_limit: int = ROW_LIMIT, analytic: bool = False) -> DataFrame:
     """The capped result of a guarded statement. Unknown columns and doubled names are blocked too."""
-    checked = guard(spark, sql, parameters, row_limit)
+    checked = guard(spark, sql, parameters, row_limit, analytic)
     try:
         df = spark.sql(checked.sql, args=checked.parameters or None)
     except Exception as e:

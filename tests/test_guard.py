@@ -106,3 +106,25 @@ def test_evidence_and_deadline(spark, store):
     assert isinstance(found.rows[0]["record_timestamp"], str)
     assert execute(spark, "SELECT * FROM risk_view", timeout=0).status == "timeout"
     assert execute(spark, "SELECT * FROM risk_view", timeout=0.001).status == "timeout"
+
+
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "SELECT product_id, sum(on_hand) OVER (PARTITION BY product_id) AS s FROM risk_view",
+        "SELECT product_id, sum(on_hand) OVER (ORDER BY product_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM risk_view",
+        "SELECT product_id, count(*) AS c FROM risk_view GROUP BY ROLLUP(product_id)",
+        "SELECT product_id, warehouse_id, count(*) AS c FROM risk_view GROUP BY CUBE(product_id, warehouse_id)",
+        "SELECT product_id, warehouse_id, count(*) AS c FROM risk_view GROUP BY GROUPING SETS ((product_id), (warehouse_id))",
+    ],
+)
+def test_analytic_statements_only_on_request(spark, store, sql):
+    with pytest.raises(SQLBlocked):
+        guarded_frame(spark, sql)
+    assert guarded_frame(spark, sql, analytic=True).count() > 0
+
+
+def test_analytic_statements_stay_inside_the_dialect(spark, store):
+    for sql in ("SELECT row_number() OVER (ORDER BY product_id) AS r FROM risk_view", "SELECT sum(on_hand) OVER (ORDER BY upper(product_id)) AS s FROM risk_view"):
+        with pytest.raises(SQLBlocked):
+            guarded_frame(spark, sql, analytic=True)
