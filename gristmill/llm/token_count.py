@@ -148,6 +148,20 @@ def starts_of(classes: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     return found
 
 
+def windows(text: str) -> list[str]:
+    """The text cut into parts of about WINDOW_CHARS: before a space that follows no white space a pre-token always starts."""
+    out, lo = [], 0
+    while len(text) - lo > WINDOW_CHARS:
+        at = text.find(" ", lo + WINDOW_CHARS)
+        while at > 0 and char_classes()[ord(text[at - 1])] in (SPACE, WHITE):
+            at = text.find(" ", at + 1)
+        if at < 0:
+            break
+        out.append(text[lo:at])
+        lo = at
+    return [*out, text[lo:]]
+
+
 class Counter:
     """The second transducer, of one tokenizer file."""
 
@@ -290,8 +304,9 @@ class Counter:
                 if special in text:
                     parts = [y for x in parts for y in x.split(special)]
             extra[i] = len(parts) - 1
-            pieces += parts
-            owner += [i] * len(parts)
+            cut = [y for x in parts for y in windows(x)]
+            pieces += cut
+            owner += [i] * len(cut)
         out, lo = extra, 0
         while lo < len(pieces):
             hi, chars = lo, 0

@@ -120,11 +120,14 @@ def test_token_counts(spark, docs, none):
     texts += [r.text or "" for r in docs.collect()] + [r.text for r in documents(spark, SF).collect()]
     want = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
     assert own.tokens(texts).tolist() == want
-    token_count.MAX_STATES, kept = 300, token_count.MAX_STATES  # restarts change nothing
-    try:
-        assert token_count.Counter(path).tokens(texts).tolist() == want
-    finally:
-        token_count.MAX_STATES = kept
+    for name, small in (("MAX_STATES", 300), ("WINDOW_CHARS", 7)):  # neither restarts nor cuts change anything
+        kept = getattr(token_count, name)
+        setattr(token_count, name, small)
+        try:
+            assert token_count.Counter(path).tokens(texts[-400:] if small == 7 else texts).tolist() == (want[-400:] if small == 7 else want)
+            assert small != 7 or token_count.Counter(path).tokens(texts[:3000]).tolist() == want[:3000]
+        finally:
+            setattr(token_count, name, kept)
     got = token_count.counted(docs, path)
     assert got.columns == [*docs.columns, "tokens"]
     for r in got.collect():
