@@ -15,6 +15,8 @@ rows score alike; an empty table gives an empty result; other columns are never
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import zlib
 
 import numpy as np
@@ -31,7 +33,7 @@ EPOCHS = 6
 RATE = 2.0
 #: Step of the vectors against that of the output layer. Averages over hundreds of features move little at 1.
 GAIN = 20.0
-TRAIN_ROWS = 5000
+TRAIN_ROWS = 3000
 THRESHOLD = 0.3
 WINDOW = 1 << 18
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -162,6 +164,7 @@ def held_out_id(doc_id: int) -> bool:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS) -> tuple[np.ndarray, float]:
     """Folded model of at most `rows` labelled documents that are not held out."""
+    tune(docs.sparkSession)
 
     @F.pandas_udf("at binary, n binary")
     def hashed(texts: pd.Series) -> pd.DataFrame:
@@ -172,7 +175,19 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", hashed("text").alias("f")).select("doc_id", "y", "f.*")
     got = sorted(((r.doc_id, r.y, r.at, r.n) for r in found.toLocalIterator()), key=lambda r: r[0])
-    return fit([(np.frombuffer(a, np.int32), np.frombuffer(n, np.float32), y) for _, y, a, n in got])
+    model = fit([(np.frombuffer(a, np.int32), np.frombuffer(n, np.float32), y) for _, y, a, n in got])
+    del got
+    release_memory()
+    return model
+
+
+def release_memory() -> None:
+    """Hand freed memory back to the system, where the C library can: the driver lives on long after training."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
 
 
 def score_texts(texts, weights: np.ndarray, bias: float) -> np.ndarray:
