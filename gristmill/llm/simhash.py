@@ -181,16 +181,16 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest reachable) for each node of edges (u, v) except the roots, by alternating stars.
 
     Every round moves each node's larger neighbours to its smallest one, then its smaller ones, and
-    writes the links; trees lose about half of their depth. It ends when the links stay as they are.
+    writes the links; trees lose about half of their depth. It ends when every node hangs on a root.
     """
     ordered = lambda a, b: (F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     now = materialize(edges.where("u <> v").select(*ordered("u", "v")).distinct(), "links")
-    mark = None
     while True:
-        sums = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(sums) == mark or not sums[0]:
+        ends = now.select("u", F.lit(1).alias("out"), F.lit(0).alias("held")).unionByName(now.select(F.col("v").alias("u"), F.lit(0).alias("out"), F.lit(1).alias("held")))
+        nodes = ends.groupBy("u").agg(F.sum("out").alias("out"), F.max("held").alias("held"))
+        total, most, inner = nodes.agg(F.sum("out"), F.max("out"), F.max(F.col("out") * F.col("held"))).first()
+        if not total or (most == 1 and inner == 0):
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        mark, total = tuple(sums), sums[0]
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         best = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("weight"))
         large = lookup(both.where("v > u"), best, "u", "weight", 2 * total).select(*ordered("v", "m")).where("u <> v").distinct()
