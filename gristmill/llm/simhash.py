@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import lookup, materialize, tune, without_ids
+from gristmill.llm.common import BROADCAST_IDS, lookup, materialize, tune, without_ids
 
 BITS = 64
 SHARD_ROWS = 20_000
@@ -238,15 +238,19 @@ SLACK = 2.0
 _STEPS = np.array([[0x9E3779B97F4A7C15 * (i + 1) % (1 << 64) for i in range(WIDE)]], np.uint64)
 
 
-def wide_fingerprint(text: str | None, shingle: int = 5) -> bytes:
-    """256 bits: the majority of the shingles' bits, each shingle's being four mixes of its XXH64."""
+def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
+    """Sorted XXH64 of the distinct word shingles; a text of fewer words is one shingle."""
     words = (text or "").encode().lower().split()
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words], dtype=np.int64) - 1
     starts = np.append(0, ends[:-1] + 1)[: max(1, len(words) - shingle + 1)]
     spans = zip(starts.tolist(), ends[min(shingle, len(words)) - 1 :].tolist() or [0], strict=False)
     digest = xxhash.xxh64_intdigest
-    base = np.array([digest(joined[a:b], 42) for a, b in spans], np.uint64)
+    return np.unique(np.array([digest(joined[a:b], 42) for a, b in spans], np.uint64))
+
+
+def wide_bits(base: np.ndarray) -> bytes:
+    """256 bits: the majority of the shingles' bits, each shingle's being four mixes of its XXH64."""
     ones = np.zeros(64 * WIDE, np.int64)
     for lo in range(0, len(base), 200):
         x = base[lo : lo + 200, None] + _STEPS
@@ -257,6 +261,16 @@ def wide_fingerprint(text: str | None, shingle: int = 5) -> bytes:
     return np.packbits(2 * ones > len(base)).tobytes()
 
 
+def wide_fingerprint(text: str | None, shingle: int = 5) -> bytes:
+    """256 bits of the set of a text's shingles, however often each occurs."""
+    return wide_bits(shingle_set(text, shingle))
+
+
+def set_id(base: np.ndarray) -> int:
+    """Signed 64-bit name of a set of shingles."""
+    return int(np.array([xxhash.xxh3_64_intdigest(base.tobytes())], np.uint64).view(np.int64)[0])
+
+
 def differing(similarity: float) -> float:
     """Expected share of differing bits at a Jaccard similarity of sets of one size: the angle between them."""
     return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
@@ -333,22 +347,115 @@ def wide_links(distinct: DataFrame, rows: int, similarity: float, shard_rows: in
     return buckets.mapInArrow(_close(limit), "u long, v long")
 
 
+#: Sets compared by one task come from two blocks of about this many shingles or sets.
+BLOCK_SHINGLES = 1_000_000
+BLOCK_SETS = 2_000
+
+
+def joined_sets(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """(index, first index of its group) where they differ, for non-empty sets joined by pairs of Jaccard `similarity` or more.
+
+    A set that is reached is compared with all that are not yet, so close groups cost one pass.
+    """
+    sizes = np.array([len(x) for x in sets])
+    universe, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    own = np.split(flat, np.cumsum(sizes)[:-1])
+    marked, left, out = np.zeros(len(universe), bool), np.arange(len(sets)), []
+    while len(left) > 1:
+        first, left = int(left[0]), left[1:]
+        flat = flat[len(own[first]) :]
+        reached = [first]
+        while reached and len(left):
+            at = reached.pop()
+            marked[own[at]] = True
+            shared = np.add.reduceat(marked[flat], np.append(0, np.cumsum(sizes[left])[:-1]), dtype=np.int64)
+            marked[own[at]] = False
+            near = shared >= similarity * (sizes[left] + sizes[at] - shared) - 1e-9
+            if near.any():
+                reached += left[near].tolist()
+                out += [(i, first) for i in left[near].tolist()]
+                flat, left = flat[np.repeat(~near, sizes[left])], left[~near]
+    return out
+
+
+def _confirmed(similarity: float):
+    """Rows (root, low, high, node, shingles) sorted by the first three to confirmed links of nodes."""
+
+    def run(batches):
+        key, held = None, {}
+
+        def close():
+            if len(held) > 1:
+                nodes = list(held)
+                yield from ((max(a, b), min(a, b)) for a, b in ((nodes[i], nodes[j]) for i, j in joined_sets(list(held.values()), similarity)))
+
+        for batch in batches:
+            links = []
+            for *now, node, packed in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if now != key:
+                    links += close()
+                    key, held = now, {}
+                held[node] = np.frombuffer(packed, np.uint64)
+            yield _links(links)
+        yield _links(list(close()))
+
+    return run
+
+
+def confirmed_links(docs: DataFrame, suspects: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """u, v joining the sets that pairs of Jaccard `similarity` or more join within each root's suspects.
+
+    suspects: node, first (a doc_id that holds the set), n (its shingles), root. Each set is read from its
+    text again. A root with more than a block is dealt into blocks, and every two of them meet in a task.
+    """
+    totals = suspects.groupBy("root").agg(F.count("*").alias("weight"), F.sum("n").alias("shingles"))
+    totals = totals.where("weight > 1").withColumn("parts", F.ceil(F.greatest(F.col("shingles") / BLOCK_SHINGLES, F.col("weight") / BLOCK_SETS)).cast("int")).drop("shingles")
+    totals = materialize(totals, "wide-roots")
+    rows = totals.agg(F.sum("weight")).first()[0] or 0
+    wanted = lookup(suspects, totals, "root", "weight", rows).select(F.col("first").alias("doc_id"), "node", "root", "parts")
+
+    @F.pandas_udf("node long, shingles binary")
+    def sets_of(texts: pd.Series) -> pd.DataFrame:
+        found = [shingle_set(x, shingle) for x in texts]
+        return pd.DataFrame({"node": np.array([set_id(x) for x in found], np.int64), "shingles": [x.tobytes() for x in found]})
+
+    wanted = F.broadcast(wanted) if rows <= BROADCAST_IDS else wanted
+    read = docs.select("doc_id", "text").join(wanted, "doc_id").select("node", "root", "parts", sets_of("text").alias("s"))
+    read = read.where("s.node = node").select("node", "root", "parts", "s.shingles")  # a doc_id may stand for several texts
+    part = F.pmod("node", "parts").cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: (x != part) | (F.col("parts") == 1))
+    dealt = read.select("root", "node", "shingles", part.alias("part"), F.explode(others).alias("other"))
+    keys = ["root", "low", "high"]
+    dealt = dealt.select("root", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "node", "shingles")
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_confirmed(similarity), "u long, v long")
+
+
 def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs' rows and columns, of each group of near copies only the rows of its smallest doc_id.
 
-    Near copies have a Jaccard similarity of word shingles of `similarity` or more, as their fingerprints
-    tell it; groups are what such pairs connect. Rows without an id stay.
+    Near copies have a Jaccard similarity of their sets of word shingles of `similarity` or more; groups are
+    what such pairs connect. Fingerprints find the groups' suspects, their sets decide. Rows without an id stay.
     """
     tune(docs.sparkSession)
 
-    @F.pandas_udf("binary")
-    def print_of(texts: pd.Series) -> pd.Series:
-        return pd.Series([wide_fingerprint(x, shingle) for x in texts], dtype=object)
+    @F.pandas_udf("node long, fp binary, n int")
+    def print_of(texts: pd.Series) -> pd.DataFrame:
+        found = [shingle_set(x, shingle) for x in texts]
+        return pd.DataFrame({"node": np.array([set_id(x) for x in found], np.int64), "fp": [wide_bits(x) for x in found], "n": np.array([len(x) for x in found], np.int32)})
 
-    thin = materialize(docs.where("doc_id is not null").select("doc_id", print_of("text").alias("fp")), "wide-prints")
+    known = docs.where("doc_id is not null")
+    thin = materialize(known.select("doc_id", print_of("text").alias("p")).select("doc_id", "p.*"), "wide-prints")
+    sets = materialize(thin.groupBy("node", "fp", "n").agg(F.min("doc_id").alias("first")), "wide-sets")
     word = lambda i: F.conv(F.hex(F.substring("fp", 8 * i + 1, 8)), 16, -10).cast("long").alias(f"w{i}")
-    distinct = materialize(thin.groupBy("fp").agg(F.min("doc_id").alias("node")).select("node", *map(word, range(WIDE))), "wide-distinct")
-    tied = components(wide_links(distinct, distinct.count(), similarity))
-    kept = distinct.select("node").join(tied, "node", "left_anti")
-    dropped = thin.select("doc_id").join(kept.select(F.col("node").alias("doc_id")), "doc_id", "left_anti")
+    prints = materialize(sets.groupBy("fp").agg(F.min("node").alias("node"), F.count("*").alias("alike")), "wide-distinct")
+    distinct = prints.select("node", *map(word, range(WIDE)))
+    tied = components(wide_links(distinct, prints.count(), similarity))
+    hung = tied.unionByName(tied.select(F.col("root").alias("node"), "root").distinct())
+    groups = prints.join(hung, "node", "left").where("root is not null or alike > 1").select("fp", F.coalesce("root", "node").alias("root"))
+    suspects = materialize(sets.join(groups, "fp").select("node", "first", F.col("n").cast("long").alias("n"), "root"), "wide-suspects")
+    sure = components(confirmed_links(known, suspects, shingle, similarity))
+    member = sure.unionByName(sure.select(F.col("root").alias("node"), "root").distinct())
+    named = sets.join(member, "node").groupBy("root").agg(F.min("first").alias("doc_id")).select("doc_id")
+    kept = named.unionByName(sets.join(member, "node", "left_anti").select(F.col("first").alias("doc_id")))
+    dropped = thin.select("doc_id").join(kept, "doc_id", "left_anti")
     return without_ids(docs, dropped)

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 
 import numpy as np
 import pytest
@@ -173,3 +174,50 @@ def test_near_dedup_finds_edited_copies(spark):
         assert len({r.u for r in simhash.wide_links(distinct, len(prints), 0.8, 5).collect()} & set(near)) >= len(near) - 2
     finally:
         simhash.HOT_SHARDS = kept
+
+
+def plain_near(table, similarity=0.8, shingle=5):
+    """doc_ids that stay by brute force over sets of shingles."""
+    sets = {}
+    for d, t in table:
+        w = t.lower().split()
+        sets[d] = {" ".join(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))}
+    ids, name = sorted(sets), {d: d for d in sets}
+    for a, b in itertools.combinations(ids, 2):
+        if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
+            old, new = max(name[a], name[b]), min(name[a], name[b])
+            name = {d: new if n == old else n for d, n in name.items()}
+    return {d for d in ids if name[d] == d}
+
+
+@pytest.mark.parametrize("block", [2_000, 2])
+def test_near_dedup_of_repeated_lines(spark, monkeypatch, block):
+    """A line repeated over and over neither joins unrelated texts nor parts copies; chains and equal fingerprints' groups are joined."""
+    monkeypatch.setattr(simhash, "BLOCK_SETS", block, raising=False)
+    rng = np.random.default_rng(3)
+    words = lambda n: ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(n)]
+    line, table = words(10), []
+    for i in range(12):
+        own = words(200)
+        table.append((10 * i, " ".join(own + line * 20)))
+        table.append((10 * i + 1, " ".join(own + line * 40)))
+        table.append((10 * i + 2, " ".join(own[:-1] + words(1))))
+        at = int(rng.integers(20, 120))
+        table.append((10 * i + 3, " ".join(own[:at] + words(60) + own[at + 60 :])))
+    chain = words(300)
+    table += [(500 + k, " ".join(words(12 * k) + chain[12 * k :])) for k in range(4)]
+    df = spark.createDataFrame(table, "doc_id long, text string").repartition(5)
+    want = plain_near(table)
+    assert {10 * i for i in range(12)} <= want and {r.doc_id for r in simhash.near_dedup(df).collect()} == want
+
+
+def test_joined_sets_join_what_brute_force_joins():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 14, rng.integers(1, 12)).astype(np.uint64)) for _ in range(120)]
+    table = list(enumerate(sets))
+    name = list(range(len(sets)))
+    for (a, x), (b, y) in itertools.combinations(table, 2):
+        if len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y)):
+            old, new = max(name[a], name[b]), min(name[a], name[b])
+            name = [new if n == old else n for n in name]
+    assert dict(simhash.joined_sets(sets, 0.8)) == {i: n for i, n in enumerate(name) if i != n}
