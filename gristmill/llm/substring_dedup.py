@@ -3,15 +3,17 @@
 Texts are cut into sentences. From every sentence on, and up to every sentence, the shortest run of
 consecutive sentences with at least RUN sentences and MIN_WORDS words is hashed to 128 bits; a sentence
 of LONG words is a run by itself. Runs that occur before in their own text are repeats at once. The others are joined globally: a run's
-first document is the smallest doc_id that holds it, and in every other document the sentences it
+first row is the one of the smallest doc_id that holds it, and in every other row the sentences it
 covers are removed.
 
 Few runs repeat, so the Bloom filter of exact dedup first tells those that may; only they shuffle.
 Counting the documents of a run is an aggregate of fixed-size numbers, combined before the shuffle, and runs held by
 more than a thousandth of all are broadcast, so no common passage gathers in one task.
 
-Edge cases: a null text stays null and an empty one empty, without sentences; null doc_ids come last;
-rows that share a doc_id are one document, and never each other's repeats; texts are read whole;
+Edge cases: a null text stays null and an empty one empty, without sentences; null doc_ids come last.
+Every row without an id is a document of its own, and so is every text under a shared doc_id: they are
+ordered by a hash of the text, and a row is cut by its own ranges only. Rows of one doc_id and one text are
+one document. Rows without an id are written to the shared folder once, with a number. Texts are read whole;
 an empty table gives an empty result; dedup_sentences keeps other columns whatever their names.
 """
 
@@ -33,7 +35,7 @@ RUN = 2
 MIN_WORDS = 16
 LONG = 50
 LAST_ID = 2**63 - 1
-RUNS = "sha string, id long, first int, last int, again boolean"
+RUNS = "sha string, id long, sub long, first int, last int, again boolean"
 #: A sentence ends after marks before white space, or at a line's end.
 _SENTENCE = re.compile(r"[^\n]+?(?:[.!?]+(?=\s)|(?=\n)|$)\s*|\s+")
 
@@ -68,20 +70,21 @@ def runs(text: str | None) -> list[tuple[bytes, int, int]]:
 
 
 def _run_rows(maybe: Tester | None = None):
-    """Runs of a batch of (id, text); with a tester, only those that may repeat."""
+    """Runs of a batch of (id, sub, text); with a tester, only those that may repeat."""
 
     def work(batch: pa.RecordBatch):
-        sha, ids, first, last, again = [], [], [], [], []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        sha, ids, subs, first, last, again = [], [], [], [], [], []
+        for doc_id, sub, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             seen = set()
             for h, a, b in runs(text):
                 sha.append(h.hex())
                 again.append(h in seen)
                 seen.add(h)
                 ids.append(doc_id)
+                subs.append(sub)
                 first.append(a)
                 last.append(b)
-        found = pa.RecordBatch.from_arrays([pa.array(sha, pa.string()), pa.array(ids, pa.int64()), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(again, pa.bool_())], names=["sha", "id", "first", "last", "again"])
+        found = pa.RecordBatch.from_arrays([pa.array(sha, pa.string()), pa.array(ids, pa.int64()), pa.array(subs, pa.int64()), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(again, pa.bool_())], names=["sha", "id", "sub", "first", "last", "again"])
         yield found.filter(pa.array(maybe(sha) | np.array(again, bool))) if maybe and sha else found
 
     return work
@@ -104,20 +107,40 @@ def clean(text: str | None, ranges) -> tuple[str | None, int, int, str]:
     return (None if text is None else "".join(out)), len(spans), len(gone), ",".join(f"{a}:{b}" for a, b in removed)
 
 
-def repeated_ranges(docs: DataFrame, max_slots: int = MAX_SLOTS) -> DataFrame:
-    """id (doc_id, LAST_ID for null) and ranges: sentence ranges of the document that repeat earlier ones."""
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), "text")
+#: Row keys order by id, then by nine digits of the text's hash and nine of the number of a row without an id.
+DIGITS = 10**9
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """_row (all columns), id (doc_id, LAST_ID for null) and sub: equal only for rows of one doc_id and one text."""
+    text = F.pmod(F.xxhash64("_row.text"), F.lit(DIGITS)) * DIGITS
+    rows = lambda where: docs.where(where).select(F.struct("*").alias("_row"))
+    known = rows("doc_id is not null").select("_row", F.col("_row.doc_id").cast("long").alias("id"), text.alias("sub"))
+    # written, so that every later reading finds the same numbers
+    unknown = materialize(rows("doc_id is null").select("_row", F.monotonically_increasing_id().alias("_number")), "rows-without-id")
+    number = F.pmod(F.xxhash64("_number"), F.lit(DIGITS))
+    return known.unionByName(unknown.select("_row", F.lit(LAST_ID).alias("id"), (text + number).alias("sub")))
+
+
+def _row_key():
+    """id and sub as one number in their order: a decimal is aggregated by hashing, a struct would be sorted."""
+    return (F.col("id").cast("decimal(20,0)") * F.lit(DIGITS * DIGITS).cast("decimal(19,0)") + F.col("sub").cast("decimal(18,0)")).cast("decimal(38,0)")
+
+
+def repeated_ranges(numbered: DataFrame, max_slots: int = MAX_SLOTS) -> DataFrame:
+    """id, sub and ranges: sentence ranges of the row that repeat those of earlier rows."""
+    keyed = numbered.select("id", "sub", "_row.text")
     every = map_batches(keyed, _run_rows, RUNS)
-    total = every.agg(F.count("*")).first()[0] if max_slots < MAX_SLOTS else _estimate(docs)
+    total = every.agg(F.count("*")).first()[0] if max_slots < MAX_SLOTS else _estimate(keyed)
     bits, slots = repeat_filter(every.where("not again").select("sha"), total, max_slots)
-    maybe = Tester(docs.sparkSession, bits, slots)
+    maybe = Tester(numbered.sparkSession, bits, slots)
     suspects = materialize(map_batches(keyed, lambda: _run_rows(maybe), RUNS), "runs")
-    held = suspects.groupBy("sha").agg(F.min("id").alias("owner"), F.max("id").alias("other"), F.count("*").alias("weight"))
+    held = suspects.select("sha", _row_key().alias("key")).groupBy("sha").agg(F.min("key").alias("owner"), F.max("key").alias("other"), F.count("*").alias("weight"))
     repeated = materialize(held.where("owner < other").drop("other"), "repeated-runs")
     rows = repeated.agg(F.sum("weight")).first()[0] or 0
-    later = lookup(suspects.where("not again"), repeated, "sha", "weight", rows).where("id > owner")
-    gone = later.select("id", "first", "last").unionByName(suspects.where("again").select("id", "first", "last"))
-    return gone.groupBy("id").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
+    later = lookup(suspects.where("not again"), repeated, "sha", "weight", rows).where(_row_key() > F.col("owner"))
+    gone = later.select("id", "sub", "first", "last").unionByName(suspects.where("again").select("id", "sub", "first", "last"))
+    return gone.groupBy("id", "sub").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
 
 
 def _estimate(docs: DataFrame) -> int:
@@ -133,9 +156,9 @@ def dedup_sentences(docs: DataFrame, max_slots: int = MAX_SLOTS) -> DataFrame:
     def cleaned(texts: pd.Series, ranges: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([clean(t, r) for t, r in zip(texts, ranges, strict=True)], columns=["text", "n_sentences", "n_removed", "removed"])
 
-    ranges = repeated_ranges(docs, max_slots)
-    keyed = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"))
-    joined = keyed.join(ranges, "id", "left").select("_row", cleaned("_row.text", "ranges").alias("_c"))
+    numbered = _numbered(docs)
+    ranges = repeated_ranges(numbered, max_slots)
+    joined = numbered.join(ranges, ["id", "sub"], "left").select("_row", cleaned("_row.text", "ranges").alias("_c"))
     return joined.select(*(F.col("_c.text").alias(c) if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns), F.struct("_c.n_sentences", "_c.n_removed", "_c.removed").alias("repeats"))
 
 

@@ -273,6 +273,25 @@ def test_substring_dedup(spark, docs, none):
     assert substring_dedup.substring_dedup(none).count() == 0
 
 
+@pytest.mark.parametrize("shared", [None, 7, -5])
+def test_substring_dedup_cuts_rows_by_their_own_ranges(spark, shared):
+    """Rows without an id, or of one id, of different texts: a passage stays once, and nothing else is cut."""
+    passage = "It begins with a sentence of some words. Then another one follows it quite closely here."
+    twice = "The same long line of words is said here again and again. So is this one that comes after it. "
+    texts = [f"{passage} Tail of the first.", f"Quite another start here. {passage}", f"{twice}{twice}End.", "Clean words that none of the others has. And more of these clean words follow.", None]
+    df = spark.createDataFrame([(shared, t) for t in texts], "doc_id long, text string").repartition(3)
+    found = [r for r in substring_dedup.substring_dedup(df).collect()]
+    got = {r.text for r in found}
+    assert len(found) == 5 and {texts[3], None, f"{twice}End."} <= got and all(r.n_removed <= r.n_sentences for r in found)
+    assert got - {texts[3], None, f"{twice}End."} in ({texts[0], "Quite another start here. "}, {"Tail of the first.", texts[1]})
+
+
+def test_substring_dedup_keeps_one_of_equal_texts_without_id(spark):
+    passage = "It begins with a sentence of some words. Then another one follows it quite closely here."
+    df = spark.createDataFrame([(None, passage)] * 4, "doc_id long, text string").repartition(3)
+    assert sorted(r.text for r in substring_dedup.substring_dedup(df).collect()) == ["", "", "", passage]
+
+
 def test_sentences_tile_the_text(docs):
     for r in docs.collect():
         spans = substring_dedup.sentences(r.text)
