@@ -6,6 +6,8 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,3 +117,31 @@ def vector_search(rows: DataFrame, key: str, vector: str, queries: DataFrame, qu
     few = F.broadcast(queries.select(F.col(query_key), F.col(query_vector).alias("_q")))
     scored = rows.select(F.col(key), F.col(vector).alias("_v")).crossJoin(few).select(query_key, key, dot("_q", "_v").alias("score"))
     return top_k(scored, query_key, key, top)
+
+
+#: Queries in a block, and rows in a block that a block of queries meets.
+QUERY_BLOCK, ROW_BLOCK = 512, 4096
+
+
+def block_search(rows: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, top: int = TOP) -> DataFrame:
+    """As vector_search, for any number of queries: blocks of queries meet blocks of rows, and of each meeting the best rows go on."""
+
+    def dealt(df: DataFrame, key: str, vector: str, size: int, names: tuple[str, str]) -> DataFrame:
+        known = df.where(F.col(key).isNotNull() & F.col(vector).isNotNull())
+        block = F.pmod(F.xxhash64(key), F.lit(max(1, math.ceil(known.count() / size))))
+        return known.groupBy(block.alias("_b")).agg(F.collect_list(F.struct(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))).alias("_all")).select(F.col("_all.id").alias(names[0]), F.col("_all.v").alias(names[1]))
+
+    def best(batches):
+        for batch in batches:
+            for asked, q, ids, v in zip(*(batch.column(i) for i in range(4)), strict=True):
+                matrix = lambda x: x.values.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
+                names, queried = ids.values.to_numpy(zero_copy_only=False), asked.values.to_numpy(zero_copy_only=False)
+                scores = matrix(q) @ matrix(v).T
+                order = [np.lexsort((names, -np.round(line, 9)))[:top] for line in scores]
+                at = np.concatenate(order)
+                of = np.repeat(np.arange(len(queried)), [len(x) for x in order])
+                yield pa.RecordBatch.from_arrays([pa.array(queried[of]), pa.array(names[at]), pa.array(scores[of, at])], names=[query_key, key, "score"])
+
+    asked = dealt(queries, query_key, query_vector, QUERY_BLOCK, ("_q", "_qv"))
+    met = asked.crossJoin(dealt(rows, key, vector, ROW_BLOCK, ("_i", "_v")))
+    return top_k(met.mapInArrow(best, f"{query_key} long, {key} long, score double"), query_key, key, top)

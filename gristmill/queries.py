@@ -125,6 +125,20 @@ def _vectors(s: SparkSession, d: str) -> DataFrame:
     return retrieval.vector_search(rows, "vec_id", "embedding", asked, "query_id", "asked").select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
+def _tfidf_hundredth(s: SparkSession, d: str) -> DataFrame:
+    """Every text whose id is divisible by 100 against all texts."""
+    bench = m.read(s, d, "benchmark")
+    asked = bench.where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("asked"))
+    return retrieval.tfidf_search(bench, "item_id", "text", asked, "query_id", "asked").select("query_id", "rank", "item_id", F.round("score", 6).alias("score"))
+
+
+def _vectors_hundredth(s: SparkSession, d: str) -> DataFrame:
+    """Every vector whose id is divisible by 100 against all vectors."""
+    rows = m.read(s, d, "embeddings")
+    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"))
+    return retrieval.block_search(rows, "vec_id", "embedding", asked, "query_id", "asked").select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "shipment_view": lambda s, d: _shipments(s, d).select(*_shown("shipment_view")),
@@ -158,6 +172,8 @@ def queries() -> dict[str, Query]:
         "risk_rules": _rated,
         "tfidf_topk": _tfidf,
         "embedding_topk": _vectors,
+        "tfidf_topk_hundredth": _tfidf_hundredth,
+        "embedding_topk_hundredth": _vectors_hundredth,
         "latency_summary": _latency,
         "metrics_grouping_sets": _grouping,
         "leakage_check": lambda s, d: evaluate.shared_questions(m.read(s, d, "customer").select(F.concat(F.upper("c_mktsegment"), F.lit("  ?")).alias("q")), m.read(s, d, "customer").where("c_custkey > 100").select(F.lower("c_mktsegment").alias("q")), "q"),

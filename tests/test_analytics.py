@@ -166,3 +166,29 @@ def test_batch_retrieval_agrees(spark):
     rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "id int, v array<double>")
     best = vector_search(rows, "id", "v", spark.createDataFrame([(9, [1.0, 0.0])], "q int, a array<double>"), "q", "a", 2)
     assert [(r.id, r.score) for r in best.orderBy("rank").collect()] == [(4, 4.0), (3, 3.0)]
+
+
+@pytest.mark.parametrize("blocks", [(512, 4096), (2, 7)])
+def test_block_search_against_brute_force(spark, monkeypatch, blocks):
+    """Every hundredth row asks all rows; ids past the first five get results too."""
+    from gristmill.functions import retrieval
+
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", blocks[0])
+    monkeypatch.setattr(retrieval, "ROW_BLOCK", blocks[1])
+    x = np.random.default_rng(5).normal(size=(401, 8))
+    x[7] = x[3]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = rows.where("vec_id % 100 = 0").withColumnsRenamed({"vec_id": "query_id", "embedding": "asked"})
+    got = {(r.query_id, r["rank"]): r.vec_id for r in retrieval.block_search(rows, "vec_id", "embedding", asked, "query_id", "asked").collect()}
+    scores = np.round(x @ x.T, 9)
+    assert got == {(q, k + 1): int(v) for q in range(0, 401, 100) for k, v in enumerate(np.lexsort((np.arange(401), -scores[q]))[:3])}
+
+
+def test_hundredth_queries_ask_every_hundredth_row(spark):
+    from conftest import SF
+
+    from gristmill import queries as q
+
+    for name, table, key in (("embedding_topk_hundredth", "embeddings", "vec_id"), ("tfidf_topk_hundredth", "benchmark", "item_id")):
+        want = {r[0] for r in spark.read.parquet(f"{SF}/{table}.parquet").where(f"{key} % 100 = 0").select(key).collect()}
+        assert {r.query_id for r in q.queries()[name](spark, SF).collect()} == want
