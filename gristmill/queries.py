@@ -113,6 +113,18 @@ def _chain(s: SparkSession, d: str) -> DataFrame:
     return hashed.select("event_id", "event_hash", F.coalesce(F.lag("event_hash").over(part), F.lit("0" * 64)).alias("previous_hash"))
 
 
+def whole_chain(hashed: DataFrame, block: int = 1000) -> DataFrame:
+    """event_id, event_hash, previous_hash over all rows in order of event_id: each block takes over the last hash of the block before it."""
+    from pyspark.sql import Window
+
+    dealt = hashed.select(F.floor(F.col("event_id") / block).alias("_block"), "event_id", "event_hash")
+    ends = dealt.groupBy("_block").agg(F.max(F.struct("event_id", "event_hash")).alias("_end"))
+    carried = ends.select("_block", F.lag("_end.event_hash").over(Window.orderBy("_block")).alias("_carried"))  # one row a block
+    before = F.lag("event_hash").over(Window.partitionBy("_block").orderBy("event_id", "event_hash"))
+    rows = dealt.withColumn("_before", before).alias("r").join(carried.alias("c"), F.col("r._block").eqNullSafe(F.col("c._block")))
+    return rows.select("event_id", "event_hash", F.coalesce("_before", "_carried", F.lit("0" * 64)).alias("previous_hash"))
+
+
 def _tfidf(s: SparkSession, d: str) -> DataFrame:
     bench = m.read(s, d, "benchmark")
     asked = bench.where("item_id < 5").select(F.col("item_id").alias("query_id"), F.col("text").alias("asked"))
@@ -179,6 +191,7 @@ def queries() -> dict[str, Query]:
         "leakage_check": lambda s, d: evaluate.shared_questions(m.read(s, d, "customer").select(F.concat(F.upper("c_mktsegment"), F.lit("  ?")).alias("q")), m.read(s, d, "customer").where("c_custkey > 100").select(F.lower("c_mktsegment").alias("q")), "q"),
         "gold_comparison": lambda s, d: evaluate.differences(m.read(s, d, "nation").select("n_regionkey"), m.read(s, d, "region").select(F.col("r_regionkey").alias("n_regionkey"))),
         "hash_chain": _chain,
+        "hash_chain_whole": lambda s, d: whole_chain(_chain(s, d)),
         "forecast_quantile": lambda s, d: forecast.forecast_series(series(s, d), "bucket"),
         "walk_forward_quantile": lambda s, d: forecast.walk_forward_series(series(s, d), "bucket"),
         "risk_scores": _scores,

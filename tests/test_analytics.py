@@ -192,3 +192,13 @@ def test_hundredth_queries_ask_every_hundredth_row(spark):
     for name, table, key in (("embedding_topk_hundredth", "embeddings", "vec_id"), ("tfidf_topk_hundredth", "benchmark", "item_id")):
         want = {r[0] for r in spark.read.parquet(f"{SF}/{table}.parquet").where(f"{key} % 100 = 0").select(key).collect()}
         assert {r.query_id for r in q.queries()[name](spark, SF).collect()} == want
+
+
+def test_whole_chain_links_across_blocks(spark):
+    """The first id of a block links to the last of the one before, over gaps as well; only the first row has no link."""
+    from gristmill.queries import whole_chain
+
+    ids = [*range(0, 2500), *range(5990, 6010)]
+    rows = spark.createDataFrame([(i, f"h{i}") for i in ids], "event_id long, event_hash string").repartition(3)
+    got = {r.event_id: r.previous_hash for r in whole_chain(rows).collect()}
+    assert got == {i: f"h{p}" if p is not None else "0" * 64 for i, p in zip(ids, [None, *ids])}
