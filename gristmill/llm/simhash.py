@@ -5,12 +5,12 @@ hashes set it. Two fingerprints link at `radius` or fewer differing bits, and li
 component named by its smallest doc_id.
 
 Copies collapse first: only distinct fingerprints are searched. They are cut into radius + 1 blocks of
-bits, of which a linked pair must share one, and each block value is a shard. A shard's BK-tree keys
-children by their Hamming distance to the parent and is followed only along edges within the radius,
-all queries of the shard at once. Shard trees are built where the shard lands: broadcasting them would
-mean shipping every fingerprint to every executor. A shard yields a spanning forest, not its pairs.
-Shards above SHARD_ROWS are dealt out again by blocks of their remaining bits. Star contraction
-then joins the forests into components, with a written table each round.
+bits, of which a linked pair must share one, and each block value is a shard with a BK-tree of its own
+(bktree.py). Every link comes from following the edges within the radius; no shard is compared whole. The trees
+of the largest shards, TREE_NODES nodes in all as counted before, are broadcast: their queries are spread over all
+tasks and never move. The other shards are smaller and gathered by a shuffle, their trees built and searched where they land.
+Shards above SHARD_ROWS are first dealt out again by blocks of their remaining bits. A task yields a
+spanning forest of what it found, not its pairs. Star contraction then joins the forests into components, with a written table each round.
 
 Edge cases: a null or empty text, or one of white space, has fingerprint zero, linked like any other;
 fewer words than a shingle hash whole; null doc_ids take part and never name a component unless all
@@ -20,6 +20,8 @@ pass through near_dedup untouched.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -27,11 +29,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.llm.bktree import Forest, Groups
 from gristmill.llm.common import BROADCAST_IDS, lookup, materialize, tune, without_ids
 
 BITS = 64
 SHARD_ROWS = 20_000
-LEAF = 64
+#: Nodes of all the trees that are broadcast, 24 bytes each.
+TREE_NODES = 100_000
+#: Fingerprints that a task gathers before it searches or builds trees; a shard is never parted.
+GATHER = 65_536
 #: Hot shards are at most this many, as none holds less than one part in so many of all keys.
 HOT_SHARDS = 2000
 
@@ -63,87 +69,64 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return docs.select("doc_id", fp("text").alias("fp"))
 
 
-def distance(points: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Hamming distances of fingerprints of one or more words: the last axis holds the words."""
-    return np.bitwise_count(points ^ other).sum(-1, dtype=np.int16)
-
-
-def joined_within(points: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """(index, smallest index of its group) where they differ, for rows of words joined within radius, by one BK-tree.
-
-    All points descend the tree together: at a node, the points whose distance to it differs from a
-    child's edge by no more than the radius follow that edge. Subtrees of LEAF points are compared whole.
-    """
-    parent = np.arange(len(points))
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    def link(a: np.ndarray, b: np.ndarray) -> None:
-        for x, y in zip(a.tolist(), b.tolist(), strict=True):
-            x, y = find(x), find(y)
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-
-    todo = [(np.arange(len(points)), np.arange(len(points)))]
-    while todo:
-        tree, queries = todo.pop()
-        if len(tree) <= LEAF:
-            for lo in range(0, len(queries), 4096):
-                part = queries[lo : lo + 4096]
-                q, t = np.nonzero(distance(points[part][:, None], points[tree][None]) <= radius)
-                a, b = part[q], tree[t]
-                new = (a > b) & (parent[a] != parent[b])  # the others are linked already, or itself
-                link(a[new], b[new])
+def _gathered(batches, whole: bool):
+    """(shard, fingerprint) columns of many batches as arrays of about GATHER rows; whole: rows are sorted by shard, and none is parted."""
+    held, size = [], 0
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        root, rest = tree[0], tree[1:]
-        apart = distance(points[queries], points[root])
-        close = queries[(apart <= radius) & (queries != root)]
-        link(close, np.full(len(close), root))
-        edges = distance(points[rest], points[root])
-        for edge in np.unique(edges):
-            follow = queries[np.abs(apart - edge) <= radius]
-            if len(follow):
-                todo.append((rest[edges == edge], follow))
-    roots = [find(i) for i in range(len(points))]
-    return [(i, r) for i, r in enumerate(roots) if i != r]
+        shard, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+        if size >= GATHER:
+            cut = int(np.argmax(shard != held[-1][0][-1])) if whole else 0
+            if whole and shard[cut] == held[-1][0][-1]:
+                cut = len(shard)  # the shard goes on
+            if cut < len(shard):
+                held.append((shard[:cut], fp[:cut]))
+                yield tuple(map(np.concatenate, zip(*held, strict=True)))
+                held, size, shard, fp = [], 0, shard[cut:], fp[cut:]
+        held.append((shard, fp))
+        size += len(shard)
+    if held:
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
+
+
+def forest_links(forest: Forest, shard: np.ndarray, fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Links (fingerprint, smallest node of its group), as signed longs, of the forest's nodes that the queries join. Every query is a node of its shard's tree."""
+    nodes = len(forest.points)
+    groups = Groups(nodes + len(fp))
+    for asked, node in forest.within(fp, forest.root_of(shard), radius):
+        groups.join(asked + nodes, node)
+    name = groups.names()[:nodes]
+    moved = np.flatnonzero(name != np.arange(nodes))
+    signed = forest.points.view(np.int64)
+    return list(zip(signed[moved].tolist(), signed[name[moved]].tolist(), strict=True))
 
 
 def bk_forest(points: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links (larger, smallest of its group), as signed longs, of distinct 64-bit fingerprints within radius."""
-    signed = points.view(np.int64)
-    order = np.argsort(signed)
-    return [(int(signed[order[i]]), int(signed[order[r]])) for i, r in joined_within(points[order, None], radius)]
+    """Links (larger, smallest of its group), as signed longs, of distinct 64-bit fingerprints within radius, by one tree."""
+    points, one = points[np.argsort(points.view(np.int64))], np.zeros(len(points), np.int64)
+    return forest_links(Forest(points, one), one, points, radius)
 
 
-def _forests(radius: int):
-    """Rows sorted by shard to links; a shard is held while it lasts, and may run on over batches."""
+def _in_place(shared, radius: int):
+    """Queries (shard, fp) to links found in the broadcast trees."""
 
     def run(batches):
-        key, held = None, []
+        for shard, fp in _gathered(batches, False):
+            yield _links(forest_links(shared.value, shard, fp, radius))
 
-        def close():
-            if sum(map(len, held)) > 1:
-                yield from bk_forest(np.unique(np.concatenate(held)), radius)
+    return run
 
-        for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-            fps = cols[4].view(np.uint64) if cols[4].dtype == np.int64 else cols[4].astype(np.int64).view(np.uint64)
-            if not len(fps):
-                continue
-            cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:4]], axis=0)) + 1
-            links = []
-            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(fps)], strict=True):
-                now = tuple(int(c[lo]) for c in cols[:4])
-                if now != key:
-                    links += close()
-                    key, held = now, []
-                held.append(fps[lo:hi])
-            yield _links(links)
-        yield _links(list(close()))
+
+def _gathered_shards(radius: int):
+    """Rows (shard, fp) sorted by shard to links, each shard through a tree of its own."""
+
+    def run(batches):
+        for shard, fp in _gathered(batches, True):
+            edge = np.append(True, shard[1:] != shard[:-1])
+            several = ~(edge & np.append(edge[1:], True))  # a fingerprint alone in its shard links to none
+            shard, fp = shard[several], fp[several]
+            yield _links(forest_links(Forest(fp, shard), shard, fp, radius))
 
     return run
 
@@ -165,16 +148,40 @@ def _masked(mask: int):
 
 
 def shards(distinct: DataFrame, rows: int, radius: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """block, value, sub, subvalue, fp: the shards that each fingerprint searches; sub -1 unless the shard was hot."""
+    """shard (a hash of its block, value and, for what was dealt again, the same of the other bits) and fp: all shards that each fingerprint is in.
+
+    Shards whose hashes agree are one, which only adds comparisons.
+    """
     masks = blocks(radius + 1, list(range(BITS)))
     keyed = distinct.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("block"), _masked(m).alias("value")) for i, m in enumerate(masks)))).alias("k")).select("k.*", "fp")
     least = max(shard_rows, rows * len(masks) // HOT_SHARDS)
     hot = F.broadcast(keyed.groupBy("block", "value").count().where(F.col("count") > least).select("block", "value"))
-    plain = keyed.join(hot, ["block", "value"], "left_anti").select("block", "value", F.lit(-1).alias("sub"), F.lit(0).cast("long").alias("subvalue"), "fp")
+    plain = keyed.join(hot, ["block", "value"], "left_anti").select(F.xxhash64("block", "value").alias("shard"), "fp")
     inner = [blocks(radius + 1, [b for b in range(BITS) if not m >> b & 1]) for m in masks]
-    choice = F.array(*(F.array(*(F.struct(F.lit(j).alias("sub"), _masked(x).alias("subvalue")) for j, x in enumerate(sub))) for sub in inner))
-    dealt = keyed.join(hot, ["block", "value"]).select("block", "value", F.explode(choice[F.col("block")]).alias("k"), "fp").select("block", "value", "k.*", "fp")
-    return plain.unionByName(dealt)
+    choice = F.array(*(F.array(*(F.xxhash64("block", "value", F.lit(j), _masked(x)) for j, x in enumerate(sub))) for sub in inner))
+    return plain.unionByName(keyed.join(hot, ["block", "value"]).select(F.explode(choice[F.col("block")]).alias("shard"), "fp"))
+
+
+def tree_links(keyed: DataFrame, radius: int, tree_nodes: int = TREE_NODES) -> DataFrame:
+    """u, v joining the fingerprints of keyed (shard, fp) that are within radius in a shard."""
+    sizes = materialize(keyed.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1"), "shard-sizes")
+    left, least, some = tree_nodes, None, False
+    for size in sizes.groupBy(F.floor(F.log2("n")).alias("power")).agg(F.sum("n").alias("n")).orderBy(F.desc("power")).collect():  # 40 rows at most
+        some = some or size.n > left
+        if not some:
+            left, least = left - size.n, 1 << size.power
+    found = []
+    if least:
+        great = F.broadcast(sizes.where(F.col("n") >= least).select("shard"))
+        here = keyed.join(great, "shard").select("shard", "fp")
+        nodes = here.toArrow()  # tree_nodes rows at most, as counted
+        forest = Forest(nodes.column("fp").to_numpy().view(np.uint64), nodes.column("shard").to_numpy())
+        found.append(here.mapInArrow(_in_place(keyed.sparkSession.sparkContext.broadcast(forest), radius), "u long, v long"))
+        keyed = keyed.join(great, "shard", "left_anti").select("shard", "fp")
+    if some:
+        found.append(keyed.repartition("shard").sortWithinPartitions("shard").mapInArrow(_gathered_shards(radius), "u long, v long"))
+    empty = keyed.select(F.col("fp").alias("u"), F.col("fp").alias("v")).limit(0)
+    return reduce(DataFrame.unionByName, found, empty)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -206,10 +213,7 @@ def linked(prints: DataFrame, radius: int = 2, shard_rows: int = SHARD_ROWS) ->
     thin = materialize(prints, "prints")
     distinct = materialize(thin.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("weight")), "distinct-prints")
     total, rows = (x or 0 for x in distinct.agg(F.sum("weight"), F.count("*")).first())
-    keyed = shards(distinct, rows, radius, shard_rows)
-    keys = ["block", "value", "sub", "subvalue"]
-    edges = keyed.repartition(*keys).sortWithinPartitions(*keys, "fp").mapInArrow(_forests(radius), "u long, v long")
-    trees = components(edges)
+    trees = components(tree_links(shards(distinct, rows, radius, shard_rows), radius))
     member = trees.unionByName(trees.select(F.col("root").alias("node"), "root").distinct())
     owned = materialize(member.join(distinct, member.node == distinct.fp).select("fp", "root", "first", "weight"), "members")
     names = owned.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("members"))
@@ -232,6 +236,8 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFr
 
 WIDE = 4
 OCCUPANCY = 64
+#: At a radius of some 50 of 256 bits no edge of a small tree can be ruled out, so a bucket of OCCUPANCY is compared whole.
+LEAF = 64
 MEET = 0.99
 #: Standard deviations of slack on the bits that a pair of the given similarity differs in.
 SLACK = 2.0
@@ -296,6 +302,39 @@ def _sampled(seed: int, tables: int, bits: int, name: str):
     return F.explode(F.array(*out)).alias("k")
 
 
+def distance(points: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Hamming distances of fingerprints of one or more words: the last axis holds the words."""
+    return np.bitwise_count(points ^ other).sum(-1, dtype=np.int16)
+
+
+def joined_within(points: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """(index, smallest index of its group) where they differ, for rows of words joined within radius, by one BK-tree.
+
+    All points descend the tree together: at a node, the points whose distance to it differs from a
+    child's edge by no more than the radius follow that edge. Subtrees of LEAF points are compared whole.
+    """
+    groups = Groups(len(points))
+    todo = [(np.arange(len(points)), np.arange(len(points)))]
+    while todo:
+        tree, queries = todo.pop()
+        if len(tree) <= LEAF:
+            for lo in range(0, len(queries), 4096):
+                part = queries[lo : lo + 4096]
+                q, t = np.nonzero(distance(points[part][:, None], points[tree][None]) <= radius)
+                groups.join(part[q], tree[t])
+            continue
+        root, rest = tree[0], tree[1:]
+        apart = distance(points[queries], points[root])
+        close = queries[(apart <= radius) & (queries != root)]
+        groups.join(close, np.full(len(close), root))
+        edges = distance(points[rest], points[root])
+        for edge in np.unique(edges):
+            follow = queries[np.abs(apart - edge) <= radius]
+            if len(follow):
+                todo.append((rest[edges == edge], follow))
+    return [(i, r) for i, r in enumerate(groups.names().tolist()) if i != r]
+
+
 def _close(limit: int):
     """Rows sorted by bucket to links of nodes at most `limit` bits apart, a forest for each bucket."""
 
