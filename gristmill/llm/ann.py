@@ -1,31 +1,36 @@
 """Approximate nearest neighbours by cross-polytope hashing (operator 1).
 
 A vector is turned by three rounds of random signs and Hadamard transforms and hashed to the nearest
-signed axis; FUNCTIONS of such hashes make a bucket, and each of TABLES tables has its own rotations.
+signed axis; `functions` of such hashes make a bucket, and each table has its own rotations.
 A query ranks the buckets of each table by how far its turned coordinates point there and probes the
 best. Candidates are scored exactly, in double precision, on the original vectors.
 
-Fitting: the number of hash functions follows from the number of vectors, so a bucket holds some BUCKET_ROWS;
-the number of probes is the smallest that finds GOAL of the true neighbours of FIT_QUERIES sampled queries,
-which are found by brute force over all vectors. Every vector is indexed.
+Fitting: functions, tables and probes are chosen together. For each of LAYOUTS the smallest number of probes is taken
+that finds GOAL of the true neighbours of FIT_QUERIES sampled queries (known by brute force over all vectors); of these
+the cheapest stays, counting the candidates that the queries meet (from their share of FIT_VECTORS sampled vectors, at the
+full number of vectors), the probes, and the copies of the index. More vectors so lead to more functions, smaller
+buckets and a smaller share of candidates, not to a switch. Every vector is indexed. fitted() returns the measured recall and share.
 
 Copies of a vector are searched once: a class of equal vectors keeps its k + 1 smallest ids, more of which no
-answer can hold. Buckets of more than BLOCK_ROWS are dealt into blocks, index rows and queries both, by counts
-taken before; in a block the queries are held and the index streams past in matrix products, so
-memory is bounded by the block. Vectors of unequal norms get one more coordinate that evens them out, the usual
+answer can hold. Buckets that agree in all functions but the last form a group, and groups are dealt to reducers by
+hash: a vector goes to a reducer once, with all its buckets there, and so does a query. A reducer holds its index rows, some
+BLOCK_ROWS, and the queries stream past. Groups of more than that, known by counts taken before, are dealt to several
+reducers by vector. Vectors of unequal norms get one more coordinate that evens them out, the usual
 reduction of inner products to angles.
 
 Edge cases: null, zero, non-finite vectors, ones with null components and rows without an id take
-no part, nor do vectors whose length is not the most common one; ties go to the smaller vec_id; fewer
-than k candidates give what there is; an id that occurs twice with one vector counts once; an empty table gives an empty
-result; other columns are never read.
+no part, nor do vectors whose length is not the most common one; ties go to the smaller vec_id, in whatever order
+rows arrive; fewer than k candidates give what there is; an id that occurs twice with one vector counts once; an empty
+table gives an empty result; other columns are never read.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -33,14 +38,19 @@ from pyspark.sql import functions as F
 
 from gristmill.llm.common import lookup, map_batches, materialize, tune
 
-TABLES = 4
-BUCKET_ROWS = 4096
-BLOCK_ROWS = 16_384
-FIT_QUERIES = 64
-GOAL = 0.95
-MAX_PROBES = 2048
-#: Blocks whose split may be broadcast; more of them join by a shuffle.
-BROADCAST_BLOCKS = 500_000
+#: (functions, tables) to choose from, and the most probes a table that are tried.
+LAYOUTS = ((1, 8), (2, 8), (2, 16), (3, 24))
+MOST_PROBES = 1024
+BLOCK_ROWS = 65_536
+FIT_QUERIES = 256
+FIT_VECTORS = 4096
+GOAL = 0.94
+#: What a probe and a copy of an indexed vector cost, in candidates scored.
+PROBE_COST, COPY_COST = 2.0, 2.0
+#: Groups above one part in so many of all index rows are dealt out, so no more than this are.
+HOT_GROUPS = 100_000
+#: Pairs of query and candidate that a reducer scores at once.
+PAIRS = 1 << 20
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -57,7 +67,7 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 class Hasher:
     """Rotations of all tables, drawn from a seed. most: the largest norm, if norms are unequal."""
 
-    def __init__(self, dim: int, functions: int, tables: int = TABLES, most: float | None = None, seed: int = 11):
+    def __init__(self, dim: int, functions: int, tables: int = 4, most: float | None = None, seed: int = 11):
         self.dim, self.functions, self.tables, self.most = dim, functions, tables, most
         self.wide = 1 << max(1, (dim + (most is not None) - 1).bit_length())
         self.signs = np.random.default_rng(seed).choice([-1.0, 1.0], (tables, functions, 3, self.wide))
@@ -126,9 +136,12 @@ def _valid(batch: pa.RecordBatch):
     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(good)), pa.array(rows, pa.binary()), pa.array(norms[good]), pa.array(sizes[good].astype(np.int32))], names=["vec_id", "v", "norm", "dim"])
 
 
-def _top(scores: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k largest of each row, in no order."""
-    return np.argpartition(-scores, k - 1, axis=1)[:, :k] if scores.shape[1] > k else np.broadcast_to(np.arange(scores.shape[1]), scores.shape)
+def top_pairs(who: np.ndarray, scores: np.ndarray, reps: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k best of each number in `who`: largest score first, ties to the smaller rep, whatever their order."""
+    order = np.lexsort((reps, -scores, who))
+    first = np.flatnonzero(np.append(True, who[order][1:] != who[order][:-1])) if len(order) else order
+    turn = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+    return order[turn < k]
 
 
 def brute(rows: DataFrame, queries: list[tuple[int, bytes]], dim: int, k: int) -> DataFrame:
@@ -140,12 +153,14 @@ def brute(rows: DataFrame, queries: list[tuple[int, bytes]], dim: int, k: int) -
             ids, q = shared.value
             if not batch.num_rows:
                 return
-            x = _matrix(batch.column(1), dim)
+            x, reps = _matrix(batch.column(1), dim), batch.column(0).to_numpy()
             scores = q @ x.T
-            at = _top(scores, k)
-            who = np.repeat(np.arange(len(q)), at.shape[1])
-            flat = at.ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(ids[who]), batch.column(0).take(pa.array(flat)), batch.column(1).take(pa.array(flat)), pa.array(exact(q[who], x[flat]))], names=["query", "rep", "v", "score"])
+            # whatever may be among the best: all down to the k-th product, less what products differ by when summed in another order
+            least = np.partition(scores, -k, axis=1)[:, -k] if len(x) > k else np.full(len(q), -np.inf)
+            who, at = np.nonzero(scores >= (least - 1e-9 * np.abs(least) - 1e-12)[:, None])
+            sure = exact(q[who], x[at])
+            keep = top_pairs(who, sure, reps[at], k)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[who[keep]]), batch.column(0).take(pa.array(at[keep])), batch.column(1).take(pa.array(at[keep])), pa.array(sure[keep])], names=["query", "rep", "v", "score"])
 
         return work
 
@@ -158,139 +173,212 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
 
 
-def fitted(classes: DataFrame, asked: DataFrame, rows: int, dim: int, most: float | None, k: int, tables: int = TABLES) -> tuple[Hasher, int, float]:
-    """The hasher, the probes a table, and the recall that they have on the sampled queries."""
+@dataclass(frozen=True)
+class Fit:
+    """A hasher, the probes a table, and what they give on the sampled queries: recall, and the share of all vectors met."""
+
+    hasher: Hasher
+    probes: int
+    recall: float
+    share: float
+
+
+def needed_probes(hasher: Hasher, asked: np.ndarray, truth: np.ndarray, owner: np.ndarray, goal: float) -> tuple[int, float, np.ndarray] | None:
+    """Probes a table that find `goal` of the true neighbours (owner: the query of each), the recall, and all probes; None if out of reach."""
+    every = min(MOST_PROBES, (2 * hasher.wide) ** hasher.functions)
+    probes, codes = hasher.probes(asked, every), hasher.codes(truth)
+    rank = np.full(len(truth), every)
+    for t in range(hasher.tables):
+        hit = probes[owner, t] == codes[:, t, None]
+        rank = np.minimum(rank, np.where(hit.any(1), hit.argmax(1), every))
+    need = int(np.sort(rank)[math.ceil(goal * len(rank)) - 1]) + 1
+    return (need, float((rank < need).mean()), probes[:, :, :need]) if need <= every else None
+
+
+def share_met(hasher: Hasher, probes: np.ndarray, sample: np.ndarray) -> float:
+    """Share of the sampled vectors that a query meets in any table."""
+    codes, met = hasher.codes(sample), 0
+    for own in probes:
+        hit = np.zeros(len(sample), bool)
+        for t in range(hasher.tables):
+            hit |= np.isin(codes[:, t], own[t])
+        met += int(hit.sum())
+    return met / max(1, len(probes) * len(sample))
+
+
+def fitted(classes: DataFrame, asked: DataFrame, rows: int, dim: int, most: float | None, k: int, every: int) -> Fit:
+    """The cheapest layout and number of probes that reach GOAL on sampled queries; asked rows are one in `every`."""
     sample = [(r.rep, bytes(r.v)) for r in asked.orderBy(F.xxhash64("rep"), "rep").limit(FIT_QUERIES).select("rep", "v").collect()]
-    truth = brute(classes, sample, dim, k + 1).where("query <> rep").collect() if sample else []
-    functions = max(1, math.ceil(math.log(max(2, rows) / BUCKET_ROWS) / math.log(2 * dim))) if rows > BUCKET_ROWS else 1
-    vectors = dict(sample)
-    while True:
+    truth = brute(classes, sample, dim, k + 1).where("query <> rep").select("query", "v").collect() if sample else []
+    if not truth:
+        return Fit(Hasher(dim, 1, 1, most), 1, 1.0, 1.0)
+    others = classes.orderBy(F.xxhash64("rep", F.lit(1)), "rep").limit(FIT_VECTORS).select("v").collect()
+    matrix = lambda found: np.frombuffer(b"".join(bytes(v) for v in found), np.float64).reshape(-1, dim)
+    asks, true, some = matrix(v for _, v in sample), matrix(r.v for r in truth), matrix(r.v for r in others)
+    place = {rep: i for i, (rep, _) in enumerate(sample)}
+    owner = np.array([place[r.query] for r in truth])
+    best: tuple[float, Fit] | None = None
+    for functions, tables in LAYOUTS:
         hasher = Hasher(dim, functions, tables, most)
-        every = min(MAX_PROBES, (2 * hasher.wide) ** functions)
-        if not truth:
-            return hasher, 1, 1.0
-        codes = hasher.codes(np.stack([np.frombuffer(r.v, np.float64) for r in truth]))
-        probes = hasher.probes(np.stack([np.frombuffer(vectors[r.query], np.float64) for r in truth]), every)
-        hit = probes == codes[:, :, None]
-        rank = np.where(hit.any(2), hit.argmax(2), every).min(1)
-        need = int(np.sort(rank)[math.ceil(GOAL * len(rank)) - 1]) + 1
-        if need <= every:
-            return hasher, need, float((rank < need).mean())
-        functions -= 1  # with one function all buckets are within reach
-
-
-def _index(hasher: Hasher, dim: int, vectors: bool):
+        if functions > 1 and (2 * hasher.wide) ** functions > 64 * rows:
+            break  # far more buckets than vectors
+        if found := needed_probes(hasher, asks, true, owner, GOAL):
+            need, recall, probes = found
+            share = share_met(hasher, probes, some)
+            cost = share * rows + PROBE_COST * tables * need + COPY_COST * tables * every
+            if best is None or cost < best[0]:
+                best = cost, Fit(hasher, need, recall, share)
+    if best is None:  # beyond MOST_PROBES in every layout: all buckets of one function
+        hasher = Hasher(dim, 1, 1, most)
+        return Fit(hasher, 2 * hasher.wide, 1.0, 1.0)
+    return best[1]
+
+
+def _coded(hasher: Hasher, dim: int, probes: int | None):
+    """Rows (id, v) to the same with their (table, code) keys, numbered table by table, as bytes; probes: of a query."""
+    size = (2 * hasher.wide) ** hasher.functions
+
     def make():
         def work(batch: pa.RecordBatch):
-            n, t = batch.num_rows, hasher.tables
-            codes = hasher.codes(_matrix(batch.column(1), dim)) if n else np.zeros((0, t), np.int64)
-            row = pa.array(np.repeat(np.arange(n), t))
-            cols = [pa.array(np.tile(np.arange(t, dtype=np.int32), n)), pa.array(codes.ravel())]
-            yield pa.RecordBatch.from_arrays(cols + ([batch.column(0).take(row), batch.column(1).take(row)] if vectors else []), names=["t", "code"] + ["rep", "v"] * vectors)
+            for lo in range(0, batch.num_rows, 64 if probes else 4096):
+                part = batch.slice(lo, 64 if probes else 4096)
+                v = _matrix(part.column(1), dim)
+                codes = hasher.probes(v, probes) if probes else hasher.codes(v)[:, :, None]
+                keys = (codes + np.arange(hasher.tables)[None, :, None] * size).reshape(len(v), -1)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([k.tobytes() for k in keys], pa.binary())], names=["id", "v", "keys"])
 
         return work
 
     return make
 
 
-def _asks(hasher: Hasher, dim: int, n: int, vectors: bool):
+def group_of(keys: np.ndarray, hasher: Hasher) -> np.ndarray:
+    """Number of the group of each bucket: all functions but the last; the bucket itself if there is one only."""
+    return keys // (2 * hasher.wide) if hasher.functions > 1 else keys
+
+
+def _mixed(x: np.ndarray, y) -> np.ndarray:
+    """A hash of two numbers."""
+    h = (x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (np.atleast_1d(np.asarray(y, np.int64)).astype(np.uint64) + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(29))
+
+
+def _dealt(hasher: Hasher, reducers: int, hot, index: bool):
+    """Rows (id, v, keys) to (reducer, kind, id, v, keys): one row for each reducer that some of the keys go to.
+
+    hot: broadcast (groups in order, parts of each). An indexed vector goes to one part of a group by its id, a query to all.
+    """
+
     def make():
         def work(batch: pa.RecordBatch):
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                codes = hasher.probes(_matrix(part.column(1), dim), n)
-                rows, t, p = codes.shape
-                row = pa.array(np.repeat(np.arange(rows), t * p))
-                cols = [pa.array(np.tile(np.repeat(np.arange(t, dtype=np.int32), p), rows)), pa.array(codes.ravel())]
-                yield pa.RecordBatch.from_arrays(cols + ([part.column(0).take(row), part.column(1).take(row)] if vectors else []), names=["t", "code"] + ["rep", "v"] * vectors)
+            names, parts = hot.value
+            flat = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int64)
+            row = np.repeat(np.arange(batch.num_rows), len(flat) // max(1, batch.num_rows))
+            group = group_of(flat, hasher)
+            if len(names):
+                at = np.minimum(np.searchsorted(names, group), len(names) - 1)
+                many = np.where(names[at] == group, parts[at], 1)
+            else:
+                many = np.ones(len(flat), np.int64)
+            if index:
+                part = (_mixed(batch.column(0).to_numpy(), 7)[row] % many.astype(np.uint64)).astype(np.int64)
+            else:
+                flat, row, group, part = np.repeat(flat, many), np.repeat(row, many), np.repeat(group, many), np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            to = (_mixed(group, part) % np.uint64(reducers)).astype(np.int64)
+            order = np.lexsort((to, row))
+            flat, row, to = flat[order], row[order], to[order]
+            cuts = np.flatnonzero((row[1:] != row[:-1]) | (to[1:] != to[:-1])) + 1
+            first, packed = np.append(0, cuts)[: len(flat)], flat.tobytes()
+            keys = [packed[8 * x : 8 * y] for x, y in zip(first.tolist(), [*cuts.tolist(), len(flat)])]
+            taken = pa.array(row[first])
+            yield pa.RecordBatch.from_arrays([pa.array(to[first]), pa.array(np.full(len(first), 0 if index else 1, np.int32)), batch.column(0).take(taken), batch.column(1).take(taken), pa.array(keys, pa.binary())], names=["reducer", "kind", "id", "v", "keys"])
 
         return work
 
     return make
 
 
+class Bucketed:
+    """The index rows of a reducer: vectors once, and their buckets in order."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, keys: list[bytes]):
+        self.ids, self.vectors = ids, vectors
+        row = np.repeat(np.arange(len(ids)), [len(k) // 8 for k in keys])
+        flat = np.frombuffer(b"".join(keys), np.int64)
+        order = np.argsort(flat, kind="stable")
+        self.keys, self.rows = flat[order], row[order]
+
+    def best(self, asked: np.ndarray, keys: list[bytes], k: int):
+        """(query number, index row, score) of the k best candidates of each query, in parts of about PAIRS pairs."""
+        flat = np.frombuffer(b"".join(keys), np.int64)
+        ends = np.cumsum([len(x) // 8 for x in keys])
+        lo, hi = np.searchsorted(self.keys, flat), np.searchsorted(self.keys, flat, "right")
+        size = np.append(0, np.cumsum(hi - lo))
+        first = 0
+        while first < len(keys):
+            begin = ends[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(size[ends], size[begin] + PAIRS, "right")))
+            here = slice(begin, ends[last - 1])
+            many = hi[here] - lo[here]
+            total = int(many.sum())
+            at = np.arange(total) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo[here], many)
+            who = np.repeat(np.arange(first, last), np.diff(np.append(begin, ends[first:last])))
+            pair = np.unique(np.repeat(who, many) * len(self.ids) + self.rows[at])  # tables may lead to one vector twice
+            who, row = np.divmod(pair, max(1, len(self.ids)))
+            score = np.concatenate([exact(asked[who[i : i + 65_536]], self.vectors[row[i : i + 65_536]]) for i in range(0, len(who), 65_536)] or [np.zeros(0)])
+            keep = top_pairs(who, score, self.ids[row], k)
+            yield who[keep], row[keep], score[keep]
+            first = last
+
+
 def _search(dim: int, k: int):
-    """Rows sorted by block, queries first, to the k best of each query in the block."""
+    """Rows sorted by reducer, index first, to the k best of each query there."""
 
     def run(batches):
-        key, asked, ids, held, size = None, None, [], [], 0
-        best: list | None = None
-
-        def compare():
-            """Score the held index rows against the block's queries, and merge with what was best."""
-            nonlocal best, held, size
-            if not held or asked is None:
-                held, size = [], 0
-                return
-            rep, x = np.concatenate([r for r, _ in held]), np.concatenate([v for _, v in held])
-            held, size = [], 0
-            for lo in range(0, len(asked), 1024):
-                q = asked[lo : lo + 1024]
-                at = _top(q @ x.T, k)
-                who, flat = np.repeat(np.arange(len(q)), at.shape[1]), at.ravel()
-                got = exact(q[who], x[flat]).reshape(at.shape)
-                old_rep, old = best[lo // 1024]
-                all_rep, every = np.concatenate([old_rep, rep[at]], 1), np.concatenate([old, got], 1)
-                keep = _top(every, k)
-                best[lo // 1024] = np.take_along_axis(all_rep, keep, 1), np.take_along_axis(every, keep, 1)
-
-        def result():
-            if best is None:
-                return
-            for i, (rep, score) in enumerate(best):
-                if rep.shape[1]:
-                    who = np.repeat(ids[i * 1024 : i * 1024 + len(rep)], rep.shape[1])
-                    yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(rep.ravel()), pa.array(score.ravel())], names=["query", "rep", "score"])
-
+        key, held, index = None, [], None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-            reps, x = batch.column(5).to_numpy(), _matrix(batch.column(6), dim)
-            cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
-            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(reps)], strict=True):
-                now = tuple(int(c[lo]) for c in cols[:4])
-                if now != key:
-                    compare()
-                    yield from result()
-                    key, asked, ids, best = now, None, np.zeros(0, np.int64), None
-                if cols[4][lo] == 0:
-                    ids = np.concatenate([ids, reps[lo:hi]])
-                    asked = x[lo:hi] if asked is None else np.concatenate([asked, x[lo:hi]])
-                elif asked is not None:
-                    if best is None:
-                        best = [(np.zeros((len(asked[i : i + 1024]), 0), np.int64), np.zeros((len(asked[i : i + 1024]), 0))) for i in range(0, len(asked), 1024)]
-                    held.append((reps[lo:hi], x[lo:hi]))
-                    size += hi - lo
-                    if size >= 4096:
-                        compare()
-        compare()
-        yield from result()
+            to, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = np.flatnonzero((to[1:] != to[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(to)], strict=True):
+                part = batch.slice(lo, hi - lo)
+                ids, vectors, keys = part.column(2).to_numpy(), _matrix(part.column(3), dim), part.column(4).to_pylist()
+                if to[lo] != key:
+                    key, held, index = to[lo], [], None
+                if kind[lo] == 0:
+                    held.append((ids, vectors, keys))
+                    continue
+                if index is None and held:
+                    index = Bucketed(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), [y for x in held for y in x[2]])
+                    held = []
+                if index is not None:
+                    for who, row, score in index.best(vectors, keys, k):
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[who]), pa.array(index.ids[row]), pa.array(score)], names=["query", "rep", "score"])
 
     return run
 
 
-def _dealt(rows: DataFrame, splits: DataFrame, own: str, other: str) -> DataFrame:
-    """Rows with block numbers a and b: one of its own side's parts, and all of the other side's."""
-    joined = rows.join(splits, ["t", "code"], "left").withColumns({c: F.coalesce(F.col(c), F.lit(1)) for c in ("a_parts", "b_parts")})
-    mine = F.pmod(F.xxhash64("rep"), F.col(f"{own}_parts")).cast("int").alias(own)
-    return joined.select("t", "code", mine, F.explode(F.sequence(F.lit(0), F.col(f"{other}_parts") - 1)).alias(other), "rep", "v").select("t", "code", "a", "b", "rep", "v")
-
-
-def search(classes: DataFrame, asked: DataFrame, hasher: Hasher, probes: int, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def search(classes: DataFrame, asked: DataFrame, hasher: Hasher, probes: int, rows: int, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query, rep, score: the k best classes found for each asked class. Both tables: rep, v."""
-    dim = hasher.dim
-    parts = lambda df, c: df.groupBy("t", "code").agg(F.ceil(F.count("*") / block_rows).cast("int").alias(c)).where(F.col(c) > 1)
-    held = parts(map_batches(classes.select("rep", "v"), _index(hasher, dim, False), "t int, code long"), "a_parts")
-    wanted = parts(map_batches(asked.select("rep", "v"), _asks(hasher, dim, probes, False), "t int, code long"), "b_parts")
-    splits = materialize(held.join(wanted, ["t", "code"], "full").select("t", "code", F.coalesce("a_parts", F.lit(1)).alias("a_parts"), F.coalesce("b_parts", F.lit(1)).alias("b_parts")), "ann-splits")
-    if splits.limit(BROADCAST_BLOCKS + 1).count() <= BROADCAST_BLOCKS:
-        splits = F.broadcast(splits)
-    index = _dealt(map_batches(classes.select("rep", "v"), _index(hasher, dim, True), "t int, code long, rep long, v binary"), splits, "a", "b")
-    asks = _dealt(map_batches(asked.select("rep", "v"), _asks(hasher, dim, probes, True), "t int, code long, rep long, v binary"), splits, "b", "a")
-    rows = asks.withColumn("kind", F.lit(0)).unionByName(index.withColumn("kind", F.lit(1))).select("t", "code", "a", "b", "kind", "rep", "v")
-    blocks = ["t", "code", "a", "b"]
-    found = rows.repartition(*blocks).sortWithinPartitions(*blocks, "kind").mapInArrow(_search(dim, k), "query long, rep long, score double")
+    spark, dim = classes.sparkSession, hasher.dim
+    kind = "id long, v binary, keys binary"
+    index = materialize(map_batches(classes.select("rep", "v"), _coded(hasher, dim, None), kind), "ann-index")
+    asks = map_batches(asked.select("rep", "v"), _coded(hasher, dim, probes), kind)
+    least = max(block_rows, rows * hasher.tables // HOT_GROUPS)
+
+    @F.pandas_udf("array<long>")
+    def groups(keys: pd.Series) -> pd.Series:
+        return pd.Series([group_of(np.frombuffer(x, np.int64), hasher) for x in keys])
+
+    sizes = index.select(F.explode(groups("keys")).alias("g")).groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > least)
+    hot = sorted((r.g, -(-r.n // least)) for r in sizes.collect())  # HOT_GROUPS at most
+    shared = spark.sparkContext.broadcast((np.array([g for g, _ in hot], np.int64), np.array([n for _, n in hot], np.int64)))
+    reducers = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows * hasher.tables // block_rows))
+    dealt = "reducer long, kind int, id long, v binary, keys binary"
+    every = map_batches(index, _dealt(hasher, reducers, shared, True), dealt).unionByName(map_batches(asks, _dealt(hasher, reducers, shared, False), dealt))
+    found = every.repartition("reducer").sortWithinPartitions("reducer", "kind").mapInArrow(_search(dim, k), "query long, rep long, score double")
     return _best(found.groupBy("query", "rep").agg(F.max("score").alias("score")), k)
 
 
@@ -307,8 +395,8 @@ def neighbours(vectors: DataFrame, every: int = 20, k: int = 20, block_rows: int
     classes = few.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).join(counts, "v").withColumn("rep", F.col("ids")[0])
     classes = materialize(classes, "vector-classes")
     asked = classes.where("weight > 0")
-    hasher, probes, _ = fitted(classes, asked, rows, dim, None if most <= least * 1.001 else most, k)
-    found = search(classes, asked, hasher, probes, k + 1, block_rows)
+    fit = fitted(classes, asked, rows, dim, None if most <= least * 1.001 else most, k, every)
+    found = search(classes, asked, fit.hasher, fit.probes, rows, k + 1, block_rows)
     ids = found.join(classes.select("rep", "ids"), "rep").select("query", "score", F.explode("ids").alias("vec_id"))
     by_id = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id"))
     best = ids.withColumn("_r", by_id).where(F.col("_r") <= k + 1).groupBy("query").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))).alias("found"))
