@@ -27,16 +27,15 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gristmill.llm.characters import WHITE, lower, split_pattern
 from gristmill.llm.common import sha256_hex, tune
 
 SHORT = 64
 #: Chunks that a worker's cache holds, in each of two generations, about 150 MB; longer ones are never kept.
 CACHE_CHUNKS = 220_000
 LONGEST = 256
-#: Unicode white space. str.split() would also break at U+001C to U+001F, which are none.
-_WHITE = "\t-\r \x85\xa0  -     　"
 _ODD = regex.compile("[\x1c-\x1f]")
-_CHUNK = regex.compile(f"[^{_WHITE}]+")
+_CHUNK = regex.compile(f"[^{WHITE}]+")
 
 
 def byte_symbols() -> list[str]:
@@ -131,7 +130,7 @@ class WordBpe:
         self.merges = merge_table(model)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in [*self.vocab.items(), *self.special.items()]}
-        self.split = regex.compile(next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"].replace(r"\s", _WHITE))
+        self.split = split_pattern(next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"])
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.symbols = byte_symbols()
         self.inner = [self.vocab[c] for c in self.symbols]
@@ -173,8 +172,7 @@ class WordBpe:
             if i % 2:
                 rows.append((str(self.special[part]), part))
                 continue
-            # the final-sigma rule of str.lower() looks at neighbours; the library maps each letter alone
-            folded = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
+            folded = lower(unicodedata.normalize("NFC", part))
             pieces = _CHUNK.findall(folded) if _ODD.search(folded) else folded.split()
             rows += map(self.kept if max(map(len, pieces), default=0) > LONGEST else self.chunks.__getitem__, pieces)
         ids = " ".join([r[0] for r in rows if r[0]])

@@ -11,7 +11,11 @@ Two deterministic transducers count the tokens of a byte-level BPE without build
    annotated with the change in tokens emitted. An encoding is valid exactly if each pair of neighbours
    is, so one last token exists for each prefix. The states are compiled when first reached, into an
    open-addressing table, and all pre-tokens of a batch step through it side by side. At MAX_STATES
-   the table starts afresh, so memory is bounded and counts stay exact.
+   the table starts afresh, so memory is bounded and counts stay exact. A pre-token of more than LONG bytes is
+   cut into chunks that step side by side too: each chunk's map leads from the entry states that it may
+   have to exit state and tokens emitted, and the maps compose through a parallel prefix scan. Entry states are first
+   guessed by reading the bytes before a chunk; whatever exits the chunk before turns out to have is added until the
+   maps are closed, so the true path is always among them.
 
 Edge cases: a null or empty text has no bytes and no tokens; a special string inside a text is one
 token, as the library counts by default; texts are read whole, in windows cut at pre-token starts;
@@ -22,8 +26,6 @@ from __future__ import annotations
 
 import json
 import struct
-import sys
-import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -31,12 +33,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.llm import characters
 from gristmill.llm.bpe import byte_symbols, merge_long, merge_short, merge_table
 from gristmill.llm.common import tune
 
 MAX_STATES = 400_000
 CHUNK = 64
 LEAD = 4
+#: Bytes of a pre-token above which it is cut, of a chunk then, and before a chunk that its entry is guessed from.
+LONG, SPAN, LOOK = 2048, 512, 64
+#: Rounds of added entry states, after which the rest of a pre-token is read from its true state.
+CLOSING = 24
 WINDOW_CHARS = 500_000
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 #: White space of the split pattern.
@@ -49,8 +56,7 @@ _CLASSES = 14
 @lru_cache(1)
 def char_classes() -> np.ndarray:
     """Class of every code point."""
-    kind = {"L": LETTER, "N": NUMBER}
-    table = np.array([kind.get(unicodedata.category(chr(c))[0], OTHER) for c in range(sys.maxunicode + 1)], np.uint8)
+    table = np.array([OTHER, LETTER, NUMBER], np.uint8)[characters.kinds()]
     table[_WHITE] = WHITE
     table[32] = SPACE
     for c, k in zip("'strevmld", (QUOTE, C_S, C_T, C_R, C_E, C_V, C_M, C_L, C_D), strict=True):
@@ -267,27 +273,90 @@ class Counter:
     def count(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Tokens of each pre-token; starts: where they start in data, which ends the last one."""
         sizes = np.diff(np.append(starts, len(data)))
+        out = np.empty(len(starts), np.int64)
+        for i in np.flatnonzero(sizes > LONG):
+            out[i] = self.count_long(data[starts[i] : starts[i] + sizes[i]])
         order = np.argsort(~np.minimum(sizes, 65535).astype(np.uint16), kind="stable")
-        if len(sizes) and sizes.max() > 65535:
-            order = np.argsort(-sizes, kind="stable")
+        order = order[sizes[order] <= LONG]
         at, sizes = starts[order].astype(np.int32), sizes[order]
         lanes = np.searchsorted(-sizes, -np.arange(1, (sizes[0] if len(sizes) else 0) + 1), "right")  # pre-tokens of at least k bytes
         state, total = np.zeros(len(at), np.int64), np.zeros(len(at), np.int32)
         for k, n in enumerate(lanes):
             if len(self.states) >= MAX_STATES:
                 self.restart(state[:n])
-            here = (state[:n] << 8) + data[at[:n] + np.int32(k)]
-            move = self.find(here)
-            if len(missing := np.flatnonzero(move < 0)):
-                for s, b in map(lambda x: divmod(x, 256), np.unique(here[missing]).tolist()):
-                    self.compile(s, b)
-                move[missing] = self.find(here[missing])
-            total[:n] += (move & 255) - 128
-            state[:n] = move >> 8
-        out = np.empty(len(at), np.int64)
+            state[:n], emitted = self.step(state[:n], data[at[:n] + np.int32(k)])
+            total[:n] += emitted
         out[order] = total
         return out
 
+    def step(self, state: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Next states and the change in tokens emitted; transitions met for the first time are compiled."""
+        here = (state << 8) + byte
+        move = self.find(here)
+        if len(missing := np.flatnonzero(move < 0)):
+            for s, b in map(lambda x: divmod(x, 256), np.unique(here[missing]).tolist()):
+                self.compile(s, b)
+            move[missing] = self.find(here[missing])
+        return move >> 8, (move & 255) - 128
+
+    def read(self, piece: np.ndarray, first: np.ndarray, last: np.ndarray, state: np.ndarray, held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Exit state and tokens of piece[first:last] from each entry state; held: other states in use, renumbered in place if the table starts afresh."""
+        state, total = state.copy(), np.zeros(len(state), np.int64)
+        for k in range(int((last - first).max(initial=0))):
+            if len(self.states) >= MAX_STATES:
+                every = np.concatenate([state, *held])
+                self.restart(every)
+                for part, renumbered in zip([state, *held], np.split(every, np.cumsum([len(x) for x in (state, *held)])[:-1]), strict=True):
+                    part[:] = renumbered
+            on = np.flatnonzero(first + k < last)
+            state[on], emitted = self.step(state[on], piece[first[on] + k])
+            total[on] += emitted
+        return state, total
+
+    def count_long(self, piece: np.ndarray) -> int:
+        """Tokens of one long pre-token: its chunks' maps, closed under the exits that occur, compose by a prefix scan."""
+        cuts = np.arange(0, len(piece), SPAN)
+        ends = np.minimum(cuts + SPAN, len(piece))
+        guess, _ = self.read(piece, np.maximum(cuts - LOOK, 0), cuts, np.zeros(len(cuts), np.int64), [])
+        chunk, entry = np.arange(len(cuts)), guess
+        known = [np.zeros(0, np.int64) for _ in range(4)]  # chunk, entry, exit, tokens
+        for _ in range(CLOSING):
+            at = known[1], known[2], entry
+            leave, emitted = self.read(piece, cuts[chunk], ends[chunk], entry, list(at))
+            known = [np.concatenate(c) for c in zip(known, (chunk, entry, leave, emitted), strict=True)]
+            # the states that a chunk's exits open in the next one, where they are new
+            after = np.unique(np.stack([known[0] + 1, known[2]])[:, known[0] + 1 < len(cuts)], axis=1)
+            have = set(zip(known[0].tolist(), known[1].tolist(), strict=True))
+            new = np.array([x for x in zip(*after.tolist(), strict=True) if x not in have], np.int64).reshape(-1, 2)
+            chunk, entry = new[:, 0].copy(), new[:, 1].copy()
+            if not len(new):
+                return self.composed(known, len(cuts))
+        state, total = np.zeros(1, np.int64), 0
+        for lo, hi in zip(cuts, ends, strict=True):
+            state, emitted = self.read(piece, np.array([lo]), np.array([hi]), state, [])
+            total += int(emitted[0])
+        return total
+
+    @staticmethod
+    def composed(known: list[np.ndarray], chunks: int) -> int:
+        """Tokens along the path from the start, from closed maps (chunk, entry, exit, tokens), in doubling steps."""
+        order = np.lexsort((known[1], known[0]))
+        chunk, entry, leave, emitted = (c[order] for c in known)
+        first = np.searchsorted(chunk, np.arange(chunks + 1))
+        place = {x: i for i, x in enumerate(zip(chunk.tolist(), entry.tolist(), strict=True))}
+        to = np.array([place.get((c + 1, x), -1) for c, x in zip(chunk.tolist(), leave.tolist(), strict=True)], np.int64)
+        width = int(np.diff(first).max())
+        nxt, count = np.zeros((chunks, width), np.int64), np.zeros((chunks, width), np.int64)
+        slot = np.arange(len(chunk)) - first[chunk]
+        nxt[chunk, slot] = np.where(to >= 0, to - first[np.minimum(chunk + 1, chunks - 1)], 0)
+        count[chunk, slot] = emitted
+        step = 1  # after it, row i leads from an entry of chunk 0 to past chunk i
+        while step < chunks:
+            count[step:] = count[:-step] + np.take_along_axis(count[step:], nxt[:-step], 1)
+            nxt[step:] = np.take_along_axis(nxt[step:], nxt[:-step], 1)
+            step *= 2
+        return int(count[-1, place[0, 0]])
+
     def restart(self, state: np.ndarray) -> None:
         """Start the arrays afresh with only the states that are in use."""
         used, back = np.unique(state, return_inverse=True)
