@@ -1,12 +1,13 @@
 """Quality classifier on supervised subword embeddings (operator 2).
 
-A document is the average of learned vectors of its words, word pairs and the byte n-grams in words, all hashed
+A document is the average of learned vectors of its words, word pairs and the character n-grams in words, all hashed
 into BUCKETS rows; a softmax layer turns the average into class odds. Training is plain stochastic
 gradient descent in numpy on the driver, over hashed count vectors of at most TRAIN_ROWS labelled
 documents (a documented bound, TRAIN_ROWS * BUCKETS counts at the very most), taken in the order of a
-hash of their ids, so the sample is the same on every run. Averages and the output layer are both linear, so a trained
+hash of their ids, one row for each id (of the text with the smallest hash), so the sample is the same on every run. Averages and the output layer are both linear, so a trained
 model folds into one number for each bucket: scoring broadcasts that table of BUCKETS floats, whatever
-the corpus, and reads whole texts in windows cut at white space.
+the corpus, and reads whole texts in windows cut at white space. A window starts again with the last word of the one
+before, as context for their pair, so the cuts change nothing.
 
 Edge cases: null and empty texts have no features and get the bias alone, a score like any other;
 labels that are null are not learned from; without any label of one class the prior decides; repeated
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import zlib
 
 import numpy as np
@@ -24,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import tune
+from gristmill.llm.common import SPACES, tune
 
 BUCKETS = 2**18
 GRAMS = (3, 4)
@@ -38,6 +40,8 @@ THRESHOLD = 0.3
 WINDOW = 1 << 18
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x100000001B3
+_STEPS = np.array([pow(0xD6E8FEB86659FD93, i, 1 << 64) for i in range(max(GRAMS))], np.uint64)
+_CUT = re.compile(f"[{SPACES}]")
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -55,34 +59,41 @@ def bucket_of(values: np.ndarray, kind: int) -> np.ndarray:
     return (((values + np.uint64(kind)) * _MIX) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int32)
 
 
-def windows(data: bytes) -> list[bytes]:
-    """data cut at white space into parts of about WINDOW bytes; a longer word stays whole."""
-    if len(data) <= WINDOW:
-        return [data]
-    out, lo = [], 0
-    while len(data) - lo > WINDOW:
-        hi = lo + WINDOW
-        while hi < len(data) and not _SPACE[data[hi]]:
-            hi += 1
-        out.append(data[lo:hi])
-        lo = hi
-    return [*out, data[lo:]]
-
-
-def features(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all words, word pairs and n-grams of the parts, and for each the part it is from."""
-    data = np.frombuffer(b" " + b"  ".join(parts) + b" ", np.uint8).copy()
-    space = _SPACE[data]
+def windows(text: str) -> list[tuple[str, int]]:
+    """(part, context) of a text cut at white space into parts of about WINDOW characters; a longer word stays whole.
+
+    The first `context` characters of a part are the last word of the part before.
+    """
+    out, lo, context = [], 0, 0
+    while len(text) - lo > WINDOW + context:
+        cut = _CUT.search(text, lo + context + WINDOW)
+        if cut is None:
+            break
+        hi = cut.start()
+        out.append((text[lo:hi], context))
+        before = text[lo:hi].rstrip(SPACES)
+        word = lo + max(before.rfind(c) for c in SPACES) + 1
+        lo, context = (word, hi - word) if before else (hi, 0)
+    return [*out, (text[lo:], context)]
+
+
+def features(parts: list[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all words, word pairs and n-grams of the parts, and for each the part it is from. Of a part's context only the pair with what follows counts."""
+    data = np.frombuffer((" " + "  ".join(p for p, _ in parts) + " ").encode("utf-32-le"), np.uint32).copy()
+    space = _SPACE[np.minimum(data, 255)] & (data < 256)
     data[space] = 32
-    wide = data.astype(np.uint64)
-    sizes = np.array([len(p) + 2 for p in parts])
+    sizes = np.array([len(p) + 2 for p, _ in parts])
     owner = np.repeat(np.arange(len(parts), dtype=np.int32), sizes)
+    fresh = np.ones(len(data), bool)
+    for start, (_, context) in zip((np.cumsum(sizes) - sizes).tolist(), parts, strict=True):
+        fresh[start : start + 1 + context] &= context == 0
+    wide = data.astype(np.uint64)
     found, whose = [], []
-    value = wide[:-1] | wide[1:] << np.uint64(8)
-    inner = ~space[1:]
+    value = wide[:-1] + wide[1:] * _STEPS[1]
+    inner = ~space[1:] & fresh[:-1]
     for n in range(3, max(GRAMS) + 1):
-        value = value[: len(data) - n + 1] | wide[n - 1 :] << np.uint64(8 * (n - 1))
-        ok = inner[: len(value)] if n == 3 else ok[: len(value)] & inner[n - 3 : n - 3 + len(value)]
+        value = value[: len(data) - n + 1] + wide[n - 1 :] * _STEPS[n - 1]
+        ok = inner[: len(value)] if n == 3 else ok[: len(value)] & ~space[n - 2 : n - 2 + len(value)]
         if n in GRAMS:
             at = np.flatnonzero(ok)
             found.append(bucket_of(value[at], n))
@@ -92,8 +103,9 @@ def features(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     up, down = _powers(len(data))
     total = np.append(np.uint64(0), np.cumsum(wide * up, dtype=np.uint64))
     word = (total[ends] - total[starts]) * down[starts]
-    found.append(bucket_of(word, 1))
-    whose.append(owner[starts])
+    own = fresh[starts]
+    found.append(bucket_of(word[own], 1))
+    whose.append(owner[starts[own]])
     # word pairs hash by exclusive or: a word that follows itself is one feature, whichever word it is
     pair = owner[starts[1:]] == owner[starts[:-1]]
     found.append(bucket_of((word[1:] ^ word[:-1])[pair], 2))
@@ -102,13 +114,13 @@ def features(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def batches_of(texts, limit: int = WINDOW):
-    """(parts, number of the text of each part) in groups of about `limit` bytes."""
+    """(parts, number of the text of each part) in groups of about `limit` characters."""
     parts, whose, size = [], [], 0
     for i, text in enumerate(texts):
-        for part in windows((text or "").encode()):
+        for part in windows(text or ""):
             parts.append(part)
             whose.append(i)
-            size += len(part)
+            size += len(part[0])
             if size >= limit:
                 yield parts, np.array(whose)
                 parts, whose, size = [], [], 0
@@ -173,7 +185,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
 
     usable = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min(label).alias("y"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", hashed("text").alias("f")).select("doc_id", "y", "f.*")
+    # a repeated id trains by one of its texts; the smallest is found before anything shuffles
+    one = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    found = one.select("doc_id", "y", hashed("t.text").alias("f")).select("doc_id", "y", "f.*")
     got = sorted(((r.doc_id, r.y, r.at, r.n) for r in found.toLocalIterator()), key=lambda r: r[0])
     model = fit([(np.frombuffer(a, np.int32), np.frombuffer(n, np.float32), y) for _, y, a, n in got])
     del got
