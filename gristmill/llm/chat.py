@@ -9,9 +9,9 @@ placeholder's position, its reference and the tokens it expands to. Turns become
 Control strings inside roles and texts are escaped, so the output reads back without loss, and the loss
 mask spans the assistant's content alone.
 
-Formatting is a map over rows. Digests of a conversation read its turns from sorted partitions as a
-stream, with a running hash, so a conversation of any length needs constant memory; it is still one
-task's work, as its digest is one sequence.
+Formatting is a map over rows. Digests parse the formatted conversation itself: its text arrives in pieces from sorted
+partitions, a reader finds the turns in the stream whatever the pieces are, and running hashes take them, so a conversation
+of any length needs the memory of its longest turn; it is still one task's work, as its digest is one sequence.
 
 Edge cases: null text and null role count as empty; null conv_ids are one conversation; turns tie in
 the order of their formatted text, null turns first; repeated rows are repeated turns; an empty
@@ -131,9 +131,26 @@ def format_conversation(turns: list[tuple[str, str | list[dict]]]) -> tuple[str,
     return out, spans, attachments
 
 
+class Reader:
+    """Finds the turns of a formatted conversation that arrives in pieces: an unescaped close never occurs inside a turn."""
+
+    def __init__(self):
+        self.rest: list[str] = []
+
+    def feed(self, piece: str) -> list[tuple[str, str]]:
+        """(role, text) of the turns that end in this piece."""
+        tail = "".join(self.rest)[1 - len(CLOSE) :] if self.rest else ""
+        if CLOSE not in tail + piece:
+            self.rest.append(piece)
+            return []
+        *turns, rest = ("".join(self.rest) + piece).split(CLOSE)
+        self.rest = [rest] if rest else []
+        return [read_turn(t + CLOSE) for t in turns]
+
+
 def read_conversation(text: str) -> list[tuple[str, str]]:
-    """Turns behind a formatted conversation: an unescaped close and open never occur inside one."""
-    return [read_turn(t + CLOSE) for t in text.split(CLOSE)[:-1]]
+    """Turns behind a formatted conversation."""
+    return Reader().feed(text)
 
 
 def formatted_turns(conversations: DataFrame) -> DataFrame:
@@ -158,31 +175,32 @@ def formatted_turns(conversations: DataFrame) -> DataFrame:
 
 
 def _digests(batches):
-    """Sorted turns to one row for each conversation, read back from the formatted text."""
+    """The formatted text of conversations in sorted pieces, with the loss mask, to one row for each conversation, parsed back."""
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
     state = None
 
     def row():
-        key, turns, all_text, chars, loss, total = state
-        return key, turns, all_text.hexdigest(), chars, loss.hexdigest(), total
+        if state["reader"].rest:
+            raise ValueError("a formatted conversation ends inside a turn")
+        return tuple(x.hexdigest() if hasattr(x, "hexdigest") else x for x in (state[c] for c in names))
 
     def batch_of(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 6, types, strict=True)], names=names)
 
     for batch in batches:
         rows = []
-        for key, turn, lo, hi in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("conv_id", "formatted", "loss_from", "loss_to")), strict=True):
-            if state is None or state[0] != key:
+        for key, piece, lo, hi in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("conv_id", "formatted", "loss_from", "loss_to")), strict=True):
+            if state is None or state["conv_id"] != key:
                 rows += [row()] if state else []
-                state = [key, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-            role, text = read_turn(turn)
-            taught = unescape(turn[lo:hi])
-            state[1] += 1
-            state[2].update(f"{role}\n{text}\n".encode())
-            state[3] += len(taught)
-            state[4].update(taught.encode())
-            state[5] += len(turn)
+                state = dict(zip(names, (key, 0, hashlib.sha256(), 0, hashlib.sha256(), 0), strict=True)) | {"reader": Reader()}
+            for role, text in state["reader"].feed(piece):
+                state["n_turns"] += 1
+                state["turns_sha256"].update(f"{role}\n{text}\n".encode())
+            taught = unescape(piece[lo:hi])
+            state["loss_chars"] += len(taught)
+            state["loss_sha256"].update(taught.encode())
+            state["formatted_chars"] += len(piece)
         yield batch_of(rows)
     if state:
         yield batch_of([row()])
