@@ -1,6 +1,7 @@
 """Service, audit, console, command line, evaluation and streaming."""
 
 import json
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from gristmill import __main__ as cli
 from gristmill import evaluate as ev
 from gristmill import harness as hs
-from gristmill.audit import GENESIS, AuditLog, broken_links, canonical, current_actions, digest, verify_events
+from gristmill.audit import GENESIS, AuditLog, broken_links, canonical, chained, current_actions, digest, verify_events
 from gristmill.console import Console
 from gristmill.operators.fixtures import QUERY_FIXTURES, apply_fixture
 from gristmill.plans.grammar import request_plan
@@ -97,6 +98,35 @@ def test_distributed_chain_check(spark):
     assert (5, "event_id repeats") in found(swap(5, 1, "e0"))
 
 
+def test_many_logs(spark):
+    """Logs of many owners are chained and checked by owner, in order, however rows arrive."""
+    events = spark.createDataFrame([(i % 3, i, f"e{i}", "query", "a", "t", '{"i": 1}') for i in range(30)], "owner long, nr long, event_id string, event_type string, actor string, timestamp string, payload string").repartition(5)
+    log = chained(events, "owner", ["nr"])
+    assert broken_links(log, ("owner",)).count() == 0
+    one = [r.event_id for r in log.where("owner = 1").orderBy("seq").collect()]
+    assert one == [f"e{i}" for i in range(1, 30, 3)]
+    bad = log.withColumn("payload", F.when(F.col("event_id") == "e4", F.lit("{}")).otherwise(F.col("payload"))).where("event_id <> 'e8'")
+    assert {tuple(r) for r in broken_links(bad, ("owner",)).collect()} == {(1, 1, "metadata differs"), (2, 3, "link differs")}
+    assert chained(events.where("false"), "owner", ["nr"]).count() == 0
+
+
+def test_writers_wait(spark, tmp_path):
+    """A writer waits for the lock, gives up after its patience, and a broken log takes no more events."""
+    log = AuditLog(spark, str(tmp_path / "log"), patience=20.0)
+    log.append("query", {"n": 1})
+    lock = tmp_path / "log.lock"
+    lock.touch()
+    with pytest.raises(RuntimeError):
+        AuditLog(spark, str(tmp_path / "log"), patience=0.2).append("query", {"n": 2})
+    threading.Timer(1.0, lock.unlink).start()
+    log.append("query", {"n": 3})
+    assert [e["payload"]["n"] for e in log.replay()] == [1, 3]
+    rows = log.table().withColumn("payload", F.replace("payload", F.lit('"n":3'), F.lit('"n":4'))).collect()
+    spark.createDataFrame(rows, log.table().schema).write.mode("overwrite").parquet(str(tmp_path / "bad"))
+    with pytest.raises(ValueError):
+        AuditLog(spark, str(tmp_path / "bad")).append("query", {"n": 5})
+
+
 def test_gate(spark, store, tmp_path):
     console = Console(spark, store)
     console.audit = console.gate.log = AuditLog(spark, str(tmp_path / "log"))
