@@ -3,15 +3,25 @@
 Shipments are line items with their orders; suppliers with a non-negative balance are the known ones;
 warehouses are nations; demand and stock are line items summed by part bucket, nation and ship day.
 Every role carries provenance and flags, so the views and the analytics run on it unchanged.
+
+As in the store of the canonical tables, joins and flags are settled once: the facts (shipments, and the sums behind demand and
+stock) are written in the session's shared folder when they are first asked for, in the order of the keys that questions filter by,
+so that filters reach Parquet's statistics and no question scans for duplicates again. A table is written anew for other or
+changed files, and goes when the application ends.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.catalog import PROVENANCE, TABLES
 from gristmill.operators.quality import duplicated, flagged, impossible, missing_fields, stale, unknown
+from gristmill.session import shared_folder
 
 TRADE_AS_OF, EVENTS_AS_OF = "1998-09-30", "2024-01-30"
 PROMISE_DAYS, BUCKETS = 730, 5
@@ -22,6 +32,38 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _state(spark: SparkSession, d: str, names: tuple[str, ...]) -> tuple:
+    """Sizes and times of the source files."""
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(f"{d}/{name}.parquet") for name in names]
+    fs = paths[0].getFileSystem(spark._jsc.hadoopConfiguration())
+    return tuple((fs.getContentSummary(at).getLength(), fs.getFileStatus(at).getModificationTime()) for at in paths)
+
+
+_STORED: dict[tuple, tuple[str, object]] = {}
+
+
+def stored(sources: tuple[str, ...], *order: str) -> Callable:
+    """A table made of source tables, written once an application in the order of some columns."""
+
+    def around(make: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        @wraps(make)
+        def table(spark: SparkSession, d: str) -> DataFrame:
+            key = spark.sparkContext.applicationId, make.__name__, d, _state(spark, d, sources)
+            if key not in _STORED:
+                path = f"{shared_folder(spark)}/canonical-{make.__name__}-{uuid.uuid4().hex}"
+                made = make(spark, d)
+                made.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(path)
+                at = spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+                _STORED[key] = path, made.schema
+            path, schema = _STORED[key]
+            return spark.read.schema(schema).parquet(path)
+
+        return table
+
+    return around
+
+
 def _provenance(df: DataFrame, table: str, record, columns: list[str]) -> DataFrame:
     """Provenance with a record id made of the row's own keys: positions mean nothing in Parquet files."""
     missing = missing_fields(columns)
@@ -74,12 +116,15 @@ def shipment_rows(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@stored(("lineitem", "orders", "supplier"), "supplier_id", "promised_date")
 def shipments(spark: SparkSession, d: str) -> DataFrame:
+    """Flagged shipments."""
     rows = _provenance(shipment_rows(spark, d), "shipments", F.col("shipment_id"), list(TABLES["shipments"]))
     rows = duplicated(unknown(rows, suppliers(spark, d), "supplier_id", "_unknown"), "shipment_id", "_copy")
     return _final(flagged(rows, [(F.col("_unknown"), "unknown_supplier"), (F.col("_copy"), "duplicate_shipment"), (impossible(), "impossible_delivery_date")]), "shipments")
 
 
+@stored(("lineitem", "supplier"), "product_id", "warehouse_id", "day")
 def cells(spark: SparkSession, d: str) -> DataFrame:
     """product_id, warehouse_id, day, quantity, price: line items summed by bucket, nation and ship day."""
     homes = read(spark, d, "supplier").select("s_suppkey", "s_nationkey")
