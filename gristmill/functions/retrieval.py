@@ -92,6 +92,10 @@ def tfidf(docs: DataFrame, key: str, text: str) -> DataFrame:
     return weighed.join(norms, key).select(key, "_term", (F.col("_w") / F.col("_norm")).alias("_weight"), "_idf")
 
 
+#: Documents of one term that meet its queries in one task.
+TERM_ROWS = 50_000
+
+
 def tfidf_search(docs: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, query_text: str, top: int = TOP) -> DataFrame:
     """query_key, rank, key, score: the best documents of each query by TF-IDF cosine, ties by key."""
     weights = tfidf(docs, key, text)
@@ -99,7 +103,11 @@ def tfidf_search(docs: DataFrame, key: str, text: str, queries: DataFrame, query
     asked = queries.select(query_key, F.explode(tokens(query_text)).alias("_term")).groupBy(query_key, "_term").agg(F.count("*").alias("_n")).join(known, "_term")
     asked = asked.select(query_key, "_term", (F.col("_n") * F.col("_idf")).alias("_q"))
     norms = asked.groupBy(query_key).agg(F.sqrt(F.sum(F.col("_q") * F.col("_q"))).alias("_qn"))
-    hits = asked.join(weights.select(key, "_term", "_weight"), "_term").groupBy(query_key, key).agg(F.sum(F.col("_q") * F.col("_weight")).alias("_dot")).join(norms, query_key)
+    # a common term meets all its documents in many tasks: both sides carry its part, the queries every part of it
+    parts = weights.groupBy("_term").agg(F.ceil(F.count("*") / TERM_ROWS).cast("int").alias("_parts"))
+    dealt = weights.select(key, "_term", "_weight").join(parts, "_term").withColumn("_part", F.pmod(F.xxhash64(key), "_parts").cast("int")).drop("_parts")
+    every = asked.join(parts, "_term").select(query_key, "_term", "_q", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+    hits = every.join(dealt, ["_term", "_part"]).groupBy(query_key, key).agg(F.sum(F.col("_q") * F.col("_weight")).alias("_dot")).join(norms, query_key)
     return top_k(hits.select(query_key, key, (F.col("_dot") / F.col("_qn")).alias("score")), query_key, key, top)
 
 
@@ -112,10 +120,16 @@ def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+#: Queries that may be broadcast, some 10 MB at a thousand components.
+BROADCAST_QUERIES = 1024
+
+
 def vector_search(rows: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, top: int = TOP) -> DataFrame:
-    """query_key, rank, key, score by inner product, for a bounded set of queries: they are broadcast, rows stream past once."""
-    few = F.broadcast(queries.select(F.col(query_key), F.col(query_vector).alias("_q")))
-    scored = rows.select(F.col(key), F.col(vector).alias("_v")).crossJoin(few).select(query_key, key, dot("_q", "_v").alias("score"))
+    """query_key, rank, key, score by inner product. Up to BROADCAST_QUERIES queries, as counted before, are broadcast and rows stream past once; more go by blocks."""
+    asked = queries.select(F.col(query_key), F.col(query_vector).alias("_q"))
+    if asked.limit(BROADCAST_QUERIES + 1).count() > BROADCAST_QUERIES:
+        return block_search(rows, key, vector, queries, query_key, query_vector, top)
+    scored = rows.select(F.col(key), F.col(vector).alias("_v")).crossJoin(F.broadcast(asked)).select(query_key, key, dot("_q", "_v").alias("score"))
     return top_k(scored, query_key, key, top)
 
 

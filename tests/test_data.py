@@ -99,6 +99,10 @@ def test_profile(spark, tmp_path):
     path.write_bytes("﻿order_date,value\n2026-01-02,1\n2026-01-02,1\n01/03/2026,\n".encode())
     row = profile.profile_file(spark, str(path))[0].first()
     assert (row.rows, row.columns, row.missing_cells, row.duplicate_rows, row.date_column, row.first_date, row.last_date) == (3, 2, 1, 1, "order_date", "2026-01-02", "2026-01-03")
+    two = tmp_path / "d.csv"
+    two.write_text('ship_date,note,Promised_Date,some_timestamp\n2026-01-05,"a\nb",2026-02-01,x\n2026-01-02,c,,\n')
+    row = profile.profile_file(spark, str(two), multiline=True)[0].first()
+    assert (row.rows, [tuple(r) for r in row.date_ranges]) == (2, [("ship_date", "2026-01-02", "2026-01-05"), ("Promised_Date", "2026-02-01", "2026-02-01")])
     other = tmp_path / "n.csv"
     other.write_text("a,b\n,x\nn,x\nx,\n")
     assert profile.profile_file(spark, str(other))[0].first().duplicate_rows == 0
