@@ -85,9 +85,7 @@ def _scores(s: SparkSession, d: str) -> DataFrame:
 def _guarded(s: SparkSession, d: str) -> DataFrame:
     from gristmill.plans.guard import guarded_frame
 
-    frames = {"shipment_view": _shipments(s, d), "supplier_view": _suppliers(s, d), "demand_view": _demand(s, d), "risk_view": _risks(s, d)}
-    for name, df in frames.items():
-        df.select(*VIEWS[name]).createOrReplaceTempView(name)
+    _registered(s, d)
     sql = """SELECT sh.supplier_id, count(sh.is_late) AS evaluable, max(su.shipment_count) AS shipments FROM shipment_view sh
              JOIN supplier_view su ON sh.supplier_id = su.supplier_id WHERE sh.traffic_index >= $least
              GROUP BY sh.supplier_id HAVING count(sh.is_late) > 0 ORDER BY sh.supplier_id LIMIT 50"""
@@ -104,13 +102,9 @@ def _grouping(s: SparkSession, d: str) -> DataFrame:
 
 
 def _chain(s: SparkSession, d: str) -> DataFrame:
-    """SHA-256 of each event's canonical text, and whether consecutive ids link."""
-    from pyspark.sql import Window
-
-    events = m.read(s, d, "events").select("event_id", F.concat_ws("|", F.col("event_id").cast("string"), F.col("user_id").cast("string"), "event_type").alias("body"))
-    hashed = events.select("event_id", "body", F.sha2("body", 256).alias("event_hash"))
-    part = Window.partitionBy(F.floor(F.col("event_id") / 1000)).orderBy("event_id")
-    return hashed.select("event_id", "event_hash", F.coalesce(F.lag("event_hash").over(part), F.lit("0" * 64)).alias("previous_hash"))
+    """SHA-256 of each event's canonical text, and that of the event before it by id."""
+    body = F.concat_ws("|", F.col("event_id").cast("string"), F.col("user_id").cast("string"), "event_type")
+    return whole_chain(m.read(s, d, "events").select("event_id", F.sha2(body, 256).alias("event_hash")))
 
 
 def whole_chain(hashed: DataFrame, block: int = 1000) -> DataFrame:
@@ -126,31 +120,71 @@ def whole_chain(hashed: DataFrame, block: int = 1000) -> DataFrame:
 
 
 def _tfidf(s: SparkSession, d: str) -> DataFrame:
-    bench = m.read(s, d, "benchmark")
-    asked = bench.where("item_id < 5").select(F.col("item_id").alias("query_id"), F.col("text").alias("asked"))
-    return retrieval.tfidf_search(bench, "item_id", "text", asked, "query_id", "asked").select("query_id", "rank", "item_id", F.round("score", 6).alias("score"))
-
-
-def _vectors(s: SparkSession, d: str) -> DataFrame:
-    rows = m.read(s, d, "embeddings")
-    asked = rows.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"))
-    return retrieval.vector_search(rows, "vec_id", "embedding", asked, "query_id", "asked").select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
-
-
-def _tfidf_hundredth(s: SparkSession, d: str) -> DataFrame:
     """Every text whose id is divisible by 100 against all texts."""
     bench = m.read(s, d, "benchmark")
     asked = bench.where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("asked"))
     return retrieval.tfidf_search(bench, "item_id", "text", asked, "query_id", "asked").select("query_id", "rank", "item_id", F.round("score", 6).alias("score"))
 
 
-def _vectors_hundredth(s: SparkSession, d: str) -> DataFrame:
+def _vectors(s: SparkSession, d: str) -> DataFrame:
     """Every vector whose id is divisible by 100 against all vectors."""
     rows = m.read(s, d, "embeddings")
     asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"))
     return retrieval.block_search(rows, "vec_id", "embedding", asked, "query_id", "asked").select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
+def _registered(s: SparkSession, d: str) -> None:
+    frames = {"shipment_view": _shipments(s, d), "supplier_view": _suppliers(s, d), "demand_view": _demand(s, d), "risk_view": _risks(s, d)}
+    for name, df in frames.items():
+        df.select(*VIEWS[name]).createOrReplaceTempView(name)
+
+
+def asked(question: str, shown: list[str] | None = None) -> Query:
+    """A question all the way: planned, compiled, guarded and run over the driver's tables."""
+
+    def query(s: SparkSession, d: str) -> DataFrame:
+        from gristmill.plans.grammar import request_plan
+        from gristmill.plans.guard import guarded_frame
+        from gristmill.plans.query_plan import compile_plan
+
+        _registered(s, d)
+        compiled = compile_plan(request_plan(question))
+        found = guarded_frame(s, compiled.sql, compiled.parameters)
+        return found.select(*shown) if shown else found
+
+    return query
+
+
+def _questions(s: SparkSession, d: str) -> DataFrame:
+    """The plans of one question for each supplier row: a stock horizon that is too long for some."""
+    rows = m.read(s, d, "supplier").select("s_suppkey", F.format_string("List inventory at risk of stockout over the coming %d days", F.col("s_suppkey") % 120).alias("question"))
+    plan = lambda field: F.get_json_object("plan", f"$.{field}")
+    return evaluate.plans_of(rows).select("s_suppkey", plan("intent").alias("intent"), plan("horizon_days").cast("int").alias("horizon_days"), plan("abstain").cast("boolean").alias("abstain"))
+
+
+def _diagnosed(s: SparkSession, d: str) -> DataFrame:
+    """Diagnoses of one right or damaged plan for each customer row."""
+    found = evaluate.diagnose_frame(evaluate.damaged_plans(m.read(s, d, "customer").select("c_custkey"), "c_custkey"))
+    return found.select(F.col("id").cast("long").alias("c_custkey"), F.concat_ws("|", "errors").alias("errors"), "exact")
+
+
+def _forecast_bounds(s: SparkSession, d: str) -> DataFrame:
+    """What every forecast must keep to: its days, and bands in order around the point and not below zero."""
+    ordered = (F.col("lower") <= F.col("point")) & (F.col("point") <= F.col("upper")) & (F.col("lower") >= 0)
+    return forecast.forecast_series(series(s, d), "bucket").groupBy("bucket").agg(F.count("*").alias("days"), F.min("step").alias("first_step"), F.max("step").alias("last_step"), F.every(ordered).alias("in_order"))
+
+
+def _folds(s: SparkSession, d: str) -> DataFrame:
+    """The folds and the baseline errors that the quantile model is walked through, which it must share with the plain baseline."""
+    return forecast.walk_forward_series(series(s, d), "bucket").select("bucket", "origin", F.round("baseline_mae", 6).alias("baseline_mae"), (F.col("mae") >= 0).alias("measured"))
+
+
+def _score_counts(s: SparkSession, d: str) -> DataFrame:
+    """Entities scored by each model, and that each got one of the levels."""
+    level = F.col("risk_level").isin("low", "medium", "high", "unknown")
+    return _scores(s, d).groupBy("risk_type").agg(F.count("*").alias("scored"), F.countDistinct("entity").alias("entities"), F.every(level).alias("levels_known"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "shipment_view": lambda s, d: _shipments(s, d).select(*_shown("shipment_view")),
@@ -173,7 +207,8 @@ def queries() -> dict[str, Query]:
         "trailing_28d_demand": lambda s, d: views.trailing_demand(m.demand_daily(s, d), m.TRADE_AS_OF).select("product_id", "warehouse_id", F.round("avg_daily_demand", 6).alias("avg_daily_demand"), "history_days"),
         "recent_delay_events": lambda s, d: views.recent_delay_events(m.supplier_events(s, d), m.EVENTS_AS_OF),
         "guarded_join": _guarded,
-        "profile_table": lambda s, d: profile.profile_frame(m.read(s, d, "orders").withColumn("order_date", F.col("o_orderdate").cast("date").cast("string")).drop("o_orderdate"), "orders"),
+        "profile_table": lambda s, d: profile.profile_frame(m.read(s, d, "orders").withColumn("order_date", F.col("o_orderdate").cast("date").cast("string")).drop("o_orderdate"), "orders").drop("date_ranges"),
+        "profile_dates": lambda s, d: profile.profile_frame(m.shipment_rows(s, d), "shipments").select("source", F.explode("date_ranges").alias("r")).select("source", "r.column", "r.first", "r.last"),
         "duplicate_rows": lambda s, d: profile.duplicate_rows(m.read(s, d, "lineitem").select("l_orderkey", "l_linenumber")),
         "seasonal_naive": lambda s, d: timeseries.seasonal_naive(series(s, d), "bucket"),
         "lag_features": lambda s, d: timeseries.lag_features(series(s, d), "bucket").withColumns({c: F.round(c, 6) for c in ("mean_7", "mean_14")}),
@@ -184,20 +219,23 @@ def queries() -> dict[str, Query]:
         "risk_rules": _rated,
         "tfidf_topk": _tfidf,
         "embedding_topk": _vectors,
-        "tfidf_topk_hundredth": _tfidf_hundredth,
-        "embedding_topk_hundredth": _vectors_hundredth,
         "latency_summary": _latency,
         "metrics_grouping_sets": _grouping,
-        "leakage_check": lambda s, d: evaluate.shared_questions(m.read(s, d, "customer").select(F.concat(F.upper("c_mktsegment"), F.lit("  ?")).alias("q")), m.read(s, d, "customer").where("c_custkey > 100").select(F.lower("c_mktsegment").alias("q")), "q"),
+        "leakage_check": lambda s, d: evaluate.shared_questions(m.read(s, d, "customer").select(F.concat(F.upper("c_mktsegment"), F.lit("  ?")).alias("q")), m.read(s, d, "customer").select(F.lower("c_mktsegment").alias("q")), "q"),
         "gold_comparison": lambda s, d: evaluate.differences(m.read(s, d, "nation").select("n_regionkey"), m.read(s, d, "region").select(F.col("r_regionkey").alias("n_regionkey"))),
         "hash_chain": _chain,
-        "hash_chain_whole": lambda s, d: whole_chain(_chain(s, d)),
         "forecast_quantile": lambda s, d: forecast.forecast_series(series(s, d), "bucket"),
-        "walk_forward_quantile": lambda s, d: forecast.walk_forward_series(series(s, d), "bucket"),
+        "walk_forward_quantile": _folds,
         "risk_scores": _scores,
-        "plan_diagnosis": lambda s, d: evaluate.diagnosis_sample(s),
-        "audit_replay": lambda s, d: evaluate.audit_sample(s),
-        "question_batch": lambda s, d: evaluate.question_sample(s),
+        "forecast_bounds": _forecast_bounds,
+        "risk_score_counts": _score_counts,
+        "plan_diagnosis": _diagnosed,
+        "audit_replay": lambda s, d: evaluate.broken_events(m.read(s, d, "events")),
+        "question_batch": _questions,
+        "asked_supplier_delay": asked("Rank suppliers by late delivery rate during August 1998"),
+        "asked_stockout": asked("List inventory at risk of stockout over the coming 14 days", _shown("risk_view")),
+        "asked_forecast": asked("Forecast demand for P1 at W3", _shown("demand_view")),
+        "asked_what_if": asked("What happens if demand increases by 15% at Warehouse 3", [*_shown("risk_view"), "scenario_daily_demand", "scenario_days_of_cover"]),
     }
 
 
@@ -249,6 +287,12 @@ series AS (SELECT b.bucket, day, CAST(date_diff('day', DATE '1998-04-04', day) A
 
 def oracle_sql() -> dict[str, str]:
     view = lambda name, rest="": f"{_CTE} SELECT {', '.join(_shown(name))} FROM {name} {rest}"
+    sql = _by_views(view)
+    same = {"supplier_delay": "supplier_delay_month", "stockout": "stockout_horizon", "forecast": "forecast_history", "what_if": "what_if_scale"}
+    return sql | {f"asked_{intent}": f"{sql[name]} LIMIT 200" for intent, name in same.items()}  # the row cap of guarded questions
+
+
+def _by_views(view: Callable[..., str]) -> dict[str, str]:
     return {
         "shipment_view": view("shipment_view"),
         "supplier_view": view("supplier_view"),
@@ -276,6 +320,17 @@ def oracle_sql() -> dict[str, str]:
             WHERE v.traffic_index >= 0.5 GROUP BY 1 HAVING count(v.is_late) > 0 ORDER BY 1 LIMIT 50""",
         "profile_table": """SELECT 'orders' AS source, count(*) AS rows, CAST(6 AS BIGINT) AS columns, CAST(0 AS BIGINT) AS missing_cells, CAST(count(*) - count(DISTINCT (o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority, CAST(o_orderdate AS DATE))) AS BIGINT) AS duplicate_rows,
             'order_date' AS date_column, CAST(CAST(min(o_orderdate) AS DATE) AS VARCHAR) AS first_date, CAST(CAST(max(o_orderdate) AS DATE) AS VARCHAR) AS last_date FROM orders""",
+        "profile_dates": _CTE + " UNION ALL ".join(f"SELECT 'shipments' AS source, '{c}' AS \"column\", CAST(min({c}) AS VARCHAR) AS \"first\", CAST(max({c}) AS VARCHAR) AS \"last\" FROM base" for c in ("shipped_date", "promised_date", "delivered_date")),
+        "forecast_bounds": _CTE + "SELECT DISTINCT bucket, CAST(14 AS BIGINT) AS days, CAST(1 AS INTEGER) AS first_step, CAST(14 AS INTEGER) AS last_step, true AS in_order FROM series",
+        "walk_forward_quantile": _CTE + """SELECT b.bucket, CAST(o AS INTEGER) AS origin, round(avg(abs(a.y - b.y)), 6) AS baseline_mae, true AS measured FROM range(84, 167, 14) r(o) JOIN series a ON a.t >= o AND a.t < o + 14
+            JOIN series b ON a.bucket = b.bucket AND b.t = o - 7 + (a.t - o) % 7 GROUP BY 1, 2""",
+        "risk_score_counts": _CTE + """SELECT 'stockout' AS risk_type, count(*) AS scored, count(DISTINCT source_record_id) AS entities, true AS levels_known FROM risk_view
+            UNION ALL SELECT 'supplier_reliability', count(*), count(DISTINCT supplier_id), true FROM supplier_view UNION ALL SELECT 'late_delivery', count(*), count(DISTINCT shipment_id), true FROM shipment_view""",
+        "plan_diagnosis": """SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN '' WHEN 2 THEN 'contract_violation|formatting_failure' WHEN 3 THEN 'contract_violation|formatting_failure'
+            ELSE 'incorrect_abstention|missing_evidence_requirement|wrong_grouping|wrong_intent|wrong_metric' END AS errors, c_custkey % 5 = 0 AS exact FROM customer""",
+        "audit_replay": """SELECT user_id, seq, 'hash differs' AS reason FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq FROM events) WHERE event_id % 50 = 0""",
+        "question_batch": """SELECT s_suppkey, CASE WHEN n BETWEEN 1 AND 90 THEN 'stockout' ELSE 'unsupported' END AS intent, CASE WHEN n BETWEEN 1 AND 90 THEN CAST(n AS INTEGER) END AS horizon_days, n NOT BETWEEN 1 AND 90 AS abstain
+            FROM (SELECT s_suppkey, s_suppkey % 120 AS n FROM supplier)""",
         "duplicate_rows": "SELECT CAST(coalesce(sum(c - 1), 0) AS BIGINT) AS duplicate_rows FROM (SELECT count(*) AS c FROM lineitem GROUP BY l_orderkey, l_linenumber)",
         "seasonal_naive": _CTE + "SELECT bucket, CAST(i + 1 AS INTEGER) AS step, y AS point FROM series JOIN range(14) r(i) ON t = 173 + i % 7",
         "lag_features": _CTE + """SELECT * FROM (SELECT bucket, t, y, lag(y, 1) OVER w AS lag_1, lag(y, 7) OVER w AS lag_7, lag(y, 14) OVER w AS lag_14, round(avg(y) OVER (w ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING), 6) AS mean_7,
@@ -293,14 +348,14 @@ def oracle_sql() -> dict[str, str]:
             tf AS (SELECT item_id, term, count(*) AS n FROM toks GROUP BY ALL), df AS (SELECT term, ln((1.0 + (SELECT count(*) FROM benchmark)) / (1.0 + count(*))) + 1 AS idf FROM tf GROUP BY term),
             w AS (SELECT item_id, term, n * idf AS w FROM tf JOIN df USING (term)), norm AS (SELECT item_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY 1),
             u AS (SELECT item_id, term, w / norm AS w FROM w JOIN norm USING (item_id)),
-            sc AS (SELECT a.item_id AS query_id, b.item_id, sum(a.w * b.w) AS score FROM u a JOIN u b USING (term) WHERE a.item_id < 5 GROUP BY ALL)
+            sc AS (SELECT a.item_id AS query_id, b.item_id, sum(a.w * b.w) AS score FROM u a JOIN u b USING (term) WHERE a.item_id % 100 = 0 GROUP BY ALL)
             SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item_id) AS INTEGER) AS rank, item_id, round(score, 6) AS score FROM sc QUALIFY rank <= 3""",
-        "embedding_topk": """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS score FROM embeddings q CROSS JOIN embeddings e WHERE q.vec_id < 5)
+        "embedding_topk": """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS score FROM embeddings q CROSS JOIN embeddings e WHERE q.vec_id % 100 = 0)
             SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS INTEGER) AS rank, vec_id, round(score, 6) AS score FROM s QUALIFY rank <= 3""",
         "latency_summary": """SELECT event_type, count(*) AS n, min(value) AS minimum, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, CASE WHEN count(*) >= 20 THEN round(quantile_cont(value, 0.95), 6) END AS p95, max(value) AS maximum FROM events GROUP BY 1""",
         "metrics_grouping_sets": """SELECT o_orderpriority AS arm, CASE WHEN grouping(o_orderstatus) = 1 THEN 'all' ELSE o_orderstatus END AS category, CAST(sum(CASE WHEN o_totalprice > 150000 THEN 1 ELSE 0 END) AS BIGINT) AS numerator,
             count(*) AS denominator, round(CAST(sum(CASE WHEN o_totalprice > 150000 THEN 1 ELSE 0 END) AS DOUBLE) / count(*), 6) AS rate FROM orders GROUP BY GROUPING SETS ((o_orderpriority), (o_orderpriority, o_orderstatus))""",
-        "leakage_check": "SELECT DISTINCT lower(c_mktsegment) AS question FROM customer WHERE lower(c_mktsegment) IN (SELECT lower(c_mktsegment) FROM customer WHERE c_custkey > 100)",
+        "leakage_check": "SELECT DISTINCT lower(c_mktsegment) AS question FROM customer",
         "gold_comparison": "SELECT (SELECT count(*) FROM nation) - (SELECT count(DISTINCT n_regionkey) FROM nation) AS only_left, CAST(0 AS BIGINT) AS only_right, false AS equal",
-        "hash_chain": """SELECT event_id, event_hash, coalesce(lag(event_hash) OVER (PARTITION BY event_id // 1000 ORDER BY event_id), repeat('0', 64)) AS previous_hash FROM (SELECT event_id, sha256(concat_ws('|', event_id, user_id, event_type)) AS event_hash FROM events)""",
+        "hash_chain": """SELECT event_id, event_hash, coalesce(lag(event_hash) OVER (ORDER BY event_id), repeat('0', 64)) AS previous_hash FROM (SELECT event_id, sha256(concat_ws('|', event_id, user_id, event_type)) AS event_hash FROM events)""",
     }
