@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import lookup, map_batches, materialize, tune
+from gristmill.llm.common import lookup, map_batches, materialize, tidied, tune
 
 #: (functions, tables) to choose from, and the most probes a table that are tried.
 LAYOUTS = ((1, 8), (2, 8), (2, 16), (3, 24))
@@ -44,7 +44,8 @@ MOST_PROBES = 1024
 BLOCK_ROWS = 65_536
 FIT_QUERIES = 256
 FIT_VECTORS = 4096
-GOAL = 0.94
+SHARE_QUERIES = 64
+GOAL = 0.93
 #: What a probe and a copy of an indexed vector cost, in candidates scored.
 PROBE_COST, COPY_COST = 2.0, 2.0
 #: Groups above one part in so many of all index rows are dealt out, so no more than this are.
@@ -98,15 +99,21 @@ class Hasher:
 
     def probes(self, v: np.ndarray, n: int) -> np.ndarray:
         """(rows, tables, up to n) buckets that a query looks at, best first."""
+        n = min(n, (2 * self.wide) ** self.functions)
+        rows = max(1, PAIRS // (min(n, 2 * self.wide) * 2 * self.wide))  # of which all sums are held at once
+        if len(v) > rows:
+            return np.concatenate([self.probes(v[lo : lo + rows], n) for lo in range(0, len(v), rows)])
         x, out = self.lifted(v, True), []
         for t in range(self.tables):
             best, code = np.zeros((len(x), 1)), np.zeros((len(x), 1), np.int64)
             for f in range(self.functions):
                 y = self.turned(x, t, f)
                 total = (best[:, :, None] + y[:, None, :]).reshape(len(x), -1)
-                both = (code[:, :, None] * y.shape[1] + np.arange(y.shape[1])).reshape(len(x), -1)
-                order = np.argsort(-total, axis=1, kind="stable")[:, :n]
-                best, code = np.take_along_axis(total, order, 1), np.take_along_axis(both, order, 1)
+                kept = np.argpartition(-total, n - 1, axis=1)[:, :n] if total.shape[1] > n else np.broadcast_to(np.arange(total.shape[1]), total.shape)
+                best = np.take_along_axis(total, kept, 1)
+                code = np.take_along_axis(code, kept // y.shape[1], 1) * y.shape[1] + kept % y.shape[1]
+                order = np.argsort(-best, axis=1, kind="stable")
+                best, code = np.take_along_axis(best, order, 1), np.take_along_axis(code, order, 1)
             out.append(code)
         return np.stack(out, 1)
 
@@ -183,48 +190,52 @@ class Fit:
     share: float
 
 
-def needed_probes(hasher: Hasher, asked: np.ndarray, truth: np.ndarray, owner: np.ndarray, goal: float) -> tuple[int, float, np.ndarray] | None:
-    """Probes a table that find `goal` of the true neighbours (owner: the query of each), the recall, and all probes; None if out of reach."""
+def needed_probes(hasher: Hasher, asked: np.ndarray, truth: np.ndarray, owner: np.ndarray, goal: float) -> tuple[int, float] | None:
+    """Probes a table that find `goal` of the true neighbours (owner: the query of each, in order), and the recall; None if out of reach."""
     every = min(MOST_PROBES, (2 * hasher.wide) ** hasher.functions)
-    probes, codes = hasher.probes(asked, every), hasher.codes(truth)
-    rank = np.full(len(truth), every)
-    for t in range(hasher.tables):
-        hit = probes[owner, t] == codes[:, t, None]
-        rank = np.minimum(rank, np.where(hit.any(1), hit.argmax(1), every))
+    codes, rank = hasher.codes(truth), np.full(len(truth), every)
+    for lo in range(0, len(asked), 16):
+        probes = hasher.probes(asked[lo : lo + 16], every)
+        for i, own in enumerate(probes, lo):
+            mine = slice(*np.searchsorted(owner, [i, i + 1]))
+            hit = own[:, None, :] == codes[mine].T[:, :, None]
+            rank[mine] = np.where(hit.any(2), hit.argmax(2), every).min(0, initial=every)
     need = int(np.sort(rank)[math.ceil(goal * len(rank)) - 1]) + 1
-    return (need, float((rank < need).mean()), probes[:, :, :need]) if need <= every else None
+    return (need, float((rank < need).mean())) if need <= every else None
 
 
-def share_met(hasher: Hasher, probes: np.ndarray, sample: np.ndarray) -> float:
+def share_met(hasher: Hasher, probes: int, asked: np.ndarray, sample: np.ndarray) -> float:
     """Share of the sampled vectors that a query meets in any table."""
     codes, met = hasher.codes(sample), 0
-    for own in probes:
-        hit = np.zeros(len(sample), bool)
-        for t in range(hasher.tables):
-            hit |= np.isin(codes[:, t], own[t])
-        met += int(hit.sum())
-    return met / max(1, len(probes) * len(sample))
+    for lo in range(0, len(asked), 16):
+        for own in hasher.probes(asked[lo : lo + 16], probes):
+            hit = np.zeros(len(sample), bool)
+            for t in range(hasher.tables):
+                hit |= np.isin(codes[:, t], own[t])
+            met += int(hit.sum())
+    return met / max(1, len(asked) * len(sample))
 
 
 def fitted(classes: DataFrame, asked: DataFrame, rows: int, dim: int, most: float | None, k: int, every: int) -> Fit:
     """The cheapest layout and number of probes that reach GOAL on sampled queries; asked rows are one in `every`."""
     sample = [(r.rep, bytes(r.v)) for r in asked.orderBy(F.xxhash64("rep"), "rep").limit(FIT_QUERIES).select("rep", "v").collect()]
-    truth = brute(classes, sample, dim, k + 1).where("query <> rep").select("query", "v").collect() if sample else []
+    found = brute(classes, sample, dim, k + 1).where("query <> rep").select("query", "v").collect() if sample else []
+    place = {rep: i for i, (rep, _) in enumerate(sample)}
+    truth = sorted(((place[r.query], bytes(r.v)) for r in found), key=lambda r: r[0])
     if not truth:
         return Fit(Hasher(dim, 1, 1, most), 1, 1.0, 1.0)
     others = classes.orderBy(F.xxhash64("rep", F.lit(1)), "rep").limit(FIT_VECTORS).select("v").collect()
     matrix = lambda found: np.frombuffer(b"".join(bytes(v) for v in found), np.float64).reshape(-1, dim)
-    asks, true, some = matrix(v for _, v in sample), matrix(r.v for r in truth), matrix(r.v for r in others)
-    place = {rep: i for i, (rep, _) in enumerate(sample)}
-    owner = np.array([place[r.query] for r in truth])
+    asks, true, some = matrix(v for _, v in sample), matrix(v for _, v in truth), matrix(r.v for r in others)
+    owner = np.array([i for i, _ in truth])
     best: tuple[float, Fit] | None = None
     for functions, tables in LAYOUTS:
         hasher = Hasher(dim, functions, tables, most)
-        if functions > 1 and (2 * hasher.wide) ** functions > 64 * rows:
-            break  # far more buckets than vectors
-        if found := needed_probes(hasher, asks, true, owner, GOAL):
-            need, recall, probes = found
-            share = share_met(hasher, probes, some)
+        if functions > 1 and (2 * hasher.wide) ** functions > 4 * rows:
+            break  # more buckets than vectors
+        if held := needed_probes(hasher, asks, true, owner, GOAL):
+            need, recall = held
+            share = share_met(hasher, need, asks[:SHARE_QUERIES], some)
             cost = share * rows + PROBE_COST * tables * need + COPY_COST * tables * every
             if best is None or cost < best[0]:
                 best = cost, Fit(hasher, need, recall, share)
@@ -240,8 +251,8 @@ def _coded(hasher: Hasher, dim: int, probes: int | None):
 
     def make():
         def work(batch: pa.RecordBatch):
-            for lo in range(0, batch.num_rows, 64 if probes else 4096):
-                part = batch.slice(lo, 64 if probes else 4096)
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
                 v = _matrix(part.column(1), dim)
                 codes = hasher.probes(v, probes) if probes else hasher.codes(v)[:, :, None]
                 keys = (codes + np.arange(hasher.tables)[None, :, None] * size).reshape(len(v), -1)
@@ -382,6 +393,7 @@ def search(classes: DataFrame, asked: DataFrame, hasher: Hasher, probes: int, ro
     return _best(found.groupBy("query", "rep").agg(F.max("score").alias("score")), k)
 
 
+@tidied
 def neighbours(vectors: DataFrame, every: int = 20, k: int = 20, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose vec_id is divisible by `every`."""
     tune(vectors.sparkSession)
