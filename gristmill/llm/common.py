@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.session import ship
+from gristmill.session import shared_folder, ship
 
 #: White space of the text contracts: space and U+0009 to U+000D.
 SPACES = " \t\n\v\f\r"
@@ -28,31 +30,30 @@ def tune(spark: SparkSession) -> None:
     ship(spark)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Only a local session may go without: it gets a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="gristmill-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 
     Lineage ends there: a lost executor costs a re-read, not a recomputation, and non-deterministic
-    columns keep the values they had when written.
+    columns keep the values they had when written. The table goes when it is discarded, and at the latest when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    fs, at = _located(spark, path)
+    fs.deleteOnExit(at)
     _WRITTEN.append(path)
+    if (owner := _OWNER.get()) is not None:
+        owner.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 _WRITTEN: list[str] = []
+_OWNER: ContextVar[list[str] | None] = ContextVar("owner", default=None)
+
+
+def _located(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
 def written() -> list[str]:
@@ -60,15 +61,45 @@ def written() -> list[str]:
     return list(_WRITTEN)
 
 
+@contextmanager
+def owned() -> Iterator[list[str]]:
+    """The paths that materialize() writes in this block, and in this thread. What is left of them then belongs to the block around."""
+    around, paths = _OWNER.get(), []
+    token = _OWNER.set(paths)
+    try:
+        yield paths
+    finally:
+        _OWNER.reset(token)
+        if around is not None:
+            around.extend(paths)
+
+
 def discard(spark: SparkSession, paths: list[str]) -> None:
     """Delete materialized tables that no plan reads any more."""
     for path in paths:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        fs, at = _located(spark, path)
+        fs.delete(at, True)
+        fs.cancelDeleteOnExit(at)
         _WRITTEN.remove(path)
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+def tidied(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The operator, whose intermediate tables go as soon as it returns, but for those that its result reads."""
+
+    @wraps(operator)
+    def run(*args, **named) -> DataFrame:
+        with owned() as paths:
+            result = operator(*args, **named)
+            files = result.inputFiles()
+            unread = [path for path in paths if not any(path.rsplit("/", 1)[1] in f for f in files)]
+            discard(result.sparkSession, unread)
+            paths[:] = [path for path in paths if path not in unread]
+        return result
+
+    return run
+
+
+def lookup(left: DataFrame, right: DataFrame, key: str | list[str], weight: str, total: int) -> DataFrame:
     """Inner join of left with right, one row of right for each key, safe against hot keys.
 
     weight: the column of right that counts left's rows of the key. Keys above total / HOT_PARTS, so

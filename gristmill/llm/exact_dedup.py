@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import SPACES, lookup, materialize, tune
+from gristmill.llm.common import SPACES, lookup, materialize, tidied, tune
 
 SLOTS_PER_ROW = 12
 PROBES = 3
@@ -54,9 +54,10 @@ def slots_of(hashes: np.ndarray, slots: int) -> np.ndarray:
     return np.stack([((low + np.uint64(i) * high) & np.uint64(slots - 1)).astype(np.int64) for i in range(PROBES)])
 
 
-def _hashes(sha: pa.Array) -> np.ndarray:
-    """First 64 bits of each hexadecimal digest."""
-    return np.array([int(x[:16], 16) for x in sha.to_pylist()], dtype=np.uint64)
+def _hashes(digests) -> np.ndarray:
+    """First 64 bits of hexadecimal digests; numbers are hashes already."""
+    found = np.asarray(digests)
+    return found.view(np.uint64) if found.dtype == np.int64 else np.array([int(x[:16], 16) for x in found], dtype=np.uint64)
 
 
 def _partial(slots: int):
@@ -66,7 +67,7 @@ def _partial(slots: int):
     def run(batches):
         gathered = []
         for batch in batches:
-            gathered.append(slots_of(_hashes(batch.column(0)), slots).ravel())
+            gathered.append(slots_of(_hashes(batch.column(0).to_numpy(zero_copy_only=False)), slots).ravel())
             if sum(map(len, gathered)) >= 3_000_000:  # a bounded share of a long task
                 yield from flush(gathered)
                 gathered = []
@@ -120,13 +121,13 @@ def repeat_filter(hashes: DataFrame, rows: int, max_slots: int = MAX_SLOTS) -> t
 
 
 class Tester:
-    """Broadcast filter: which hexadecimal digests may be repeated?"""
+    """Broadcast filter: which hexadecimal digests, or hashes as numbers, may be repeated?"""
 
     def __init__(self, spark, bits: np.ndarray, slots: int):
         self.shared, self.slots = spark.sparkContext.broadcast(bits), slots
 
     def __call__(self, digests) -> np.ndarray:
-        at = slots_of(np.array([int(x[:16], 16) for x in digests], dtype=np.uint64), self.slots)
+        at = slots_of(_hashes(digests), self.slots)
         return ((self.shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0)
 
     def column(self, sha: str) -> Column:
@@ -166,6 +167,7 @@ def _survey(thin: DataFrame, max_slots: int):
     return rows, maybe, suspects, suspects.groupBy("sha").agg(*_first(F.sum("alike")))
 
 
+@tidied
 def exact_groups(docs: DataFrame, max_slots: int = MAX_SLOTS) -> DataFrame:
     """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
     tune(docs.sparkSession)
@@ -182,6 +184,7 @@ def exact_groups(docs: DataFrame, max_slots: int = MAX_SLOTS) -> DataFrame:
     )
 
 
+@tidied
 def drop_exact_copies(docs: DataFrame, max_slots: int = MAX_SLOTS) -> DataFrame:
     """docs' rows and columns, one row for each normalised text."""
     tune(docs.sparkSession)

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import lookup, materialize, tune
+from gristmill.llm.common import lookup, materialize, tidied, tune
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -156,6 +156,7 @@ def _copies() -> Column:
     return F.expr("each + cast(coalesce(h < limit or (h = limit and given = ties), false) as int)")
 
 
+@tidied
 def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:
     """doc_id, size, source_size, target, taken (words, repeats counted), copies for each row of docs."""
     tune(docs.sparkSession)
@@ -179,6 +180,7 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 BROADCAST_GROUPS = 200_000
 
 
+@tidied
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:
     """docs' rows, each as often as the mix takes it. Texts stay where they are, unless there are more than BROADCAST_GROUPS groups."""
     tune(docs.sparkSession)

@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import materialize, text_or_empty, tune
+from gristmill.llm.common import materialize, text_or_empty, tidied, tune
 
 #: Kinds in the order of equal starts; the first three are base spans. Patterns are fixed values.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
@@ -98,6 +98,7 @@ def near(candidates: DataFrame, others: DataFrame) -> DataFrame:
     return here.join(there, within, "left_semi").select("c.key", "c.start", "c.kind", "c.end").distinct()
 
 
+@tidied
 def linked_spans(docs: DataFrame) -> DataFrame:
     """doc_id, base and added spans (arrays of start, kind and end, in order) for each row of docs."""
     tune(docs.sparkSession)

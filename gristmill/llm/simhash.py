@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm.bktree import Forest, Groups
-from gristmill.llm.common import BROADCAST_IDS, lookup, materialize, tune, without_ids
+from gristmill.llm.common import BROADCAST_IDS, lookup, materialize, tidied, tune, without_ids
 
 BITS = 64
 SHARD_ROWS = 20_000
@@ -207,6 +207,7 @@ def components(edges: DataFrame) -> DataFrame:
         now = materialize(small.where("u <> v").distinct(), "links")
 
 
+@tidied
 def linked(prints: DataFrame, radius: int = 2, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """doc_id, fp, component_id for a table of doc_id and fp."""
     tune(prints.sparkSession)
@@ -469,6 +470,7 @@ def confirmed_links(docs: DataFrame, suspects: DataFrame, shingle: int, similari
     return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_confirmed(similarity), "u long, v long")
 
 
+@tidied
 def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs' rows and columns, of each group of near copies only the rows of its smallest doc_id.
 
