@@ -6,7 +6,7 @@ of LONG words is a run by itself. Runs that occur before in their own text are r
 first row is the one of the smallest doc_id that holds it, and in every other row the sentences it
 covers are removed.
 
-Few runs repeat, so the Bloom filter of exact dedup first tells those that may; only they shuffle.
+Runs are hashed once and written. Few repeat, so the Bloom filter of exact dedup first tells those that may; only they shuffle.
 Counting the documents of a run is an aggregate of fixed-size numbers, combined before the shuffle, and runs held by
 more than a thousandth of all are broadcast, so no common passage gathers in one task.
 
@@ -28,14 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import lookup, map_batches, materialize, tune
+from gristmill.llm.common import lookup, map_batches, materialize, tidied, tune
 from gristmill.llm.exact_dedup import MAX_SLOTS, Tester, repeat_filter
 
 RUN = 2
 MIN_WORDS = 16
 LONG = 50
 LAST_ID = 2**63 - 1
-RUNS = "sha string, id long, sub long, first int, last int, again boolean"
+RUNS = "hi long, lo long, id long, sub long, first int, last int, again boolean"
 #: A sentence ends after marks before white space, or at a line's end.
 _SENTENCE = re.compile(r"[^\n]+?(?:[.!?]+(?=\s)|(?=\n)|$)\s*|\s+")
 
@@ -69,23 +69,23 @@ def runs(text: str | None) -> list[tuple[bytes, int, int]]:
     return [(xxhash.xxh3_128_digest("\n".join(folded[a:b]).encode()), real[a], real[b - 1] + 1) for a, b in spans]
 
 
-def _run_rows(maybe: Tester | None = None):
-    """Runs of a batch of (id, sub, text); with a tester, only those that may repeat."""
+def _run_rows():
+    """Runs of a batch of (id, sub, text), their hashes as two numbers."""
 
     def work(batch: pa.RecordBatch):
         sha, ids, subs, first, last, again = [], [], [], [], [], []
         for doc_id, sub, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             seen = set()
             for h, a, b in runs(text):
-                sha.append(h.hex())
+                sha.append(h)
                 again.append(h in seen)
                 seen.add(h)
                 ids.append(doc_id)
                 subs.append(sub)
                 first.append(a)
                 last.append(b)
-        found = pa.RecordBatch.from_arrays([pa.array(sha, pa.string()), pa.array(ids, pa.int64()), pa.array(subs, pa.int64()), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(again, pa.bool_())], names=["sha", "id", "sub", "first", "last", "again"])
-        yield found.filter(pa.array(maybe(sha) | np.array(again, bool))) if maybe and sha else found
+        both = np.frombuffer(b"".join(sha), np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(ids, pa.int64()), pa.array(subs, pa.int64()), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(again, pa.bool_())], names=["hi", "lo", "id", "sub", "first", "last", "again"])
 
     return work
 
@@ -129,25 +129,19 @@ def _row_key():
 
 def repeated_ranges(numbered: DataFrame, max_slots: int = MAX_SLOTS) -> DataFrame:
     """id, sub and ranges: sentence ranges of the row that repeat those of earlier rows."""
-    keyed = numbered.select("id", "sub", "_row.text")
-    every = map_batches(keyed, _run_rows, RUNS)
-    total = every.agg(F.count("*")).first()[0] if max_slots < MAX_SLOTS else _estimate(keyed)
-    bits, slots = repeat_filter(every.where("not again").select("sha"), total, max_slots)
+    every = materialize(map_batches(numbered.select("id", "sub", "_row.text"), _run_rows, RUNS), "runs")
+    bits, slots = repeat_filter(every.where("not again").select("hi"), every.count(), max_slots)
     maybe = Tester(numbered.sparkSession, bits, slots)
-    suspects = materialize(map_batches(keyed, lambda: _run_rows(maybe), RUNS), "runs")
-    held = suspects.select("sha", _row_key().alias("key")).groupBy("sha").agg(F.min("key").alias("owner"), F.max("key").alias("other"), F.count("*").alias("weight"))
+    suspects = materialize(every.where(F.col("again") | maybe.column("hi")), "suspect-runs")
+    held = suspects.select("hi", "lo", _row_key().alias("key")).groupBy("hi", "lo").agg(F.min("key").alias("owner"), F.max("key").alias("other"), F.count("*").alias("weight"))
     repeated = materialize(held.where("owner < other").drop("other"), "repeated-runs")
     rows = repeated.agg(F.sum("weight")).first()[0] or 0
-    later = lookup(suspects.where("not again"), repeated, "sha", "weight", rows).where(_row_key() > F.col("owner"))
+    later = lookup(suspects.where("not again"), repeated, ["hi", "lo"], "weight", rows).where(_row_key() > F.col("owner"))
     gone = later.select("id", "sub", "first", "last").unionByName(suspects.where("again").select("id", "sub", "first", "last"))
     return gone.groupBy("id", "sub").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
 
 
-def _estimate(docs: DataFrame) -> int:
-    """Sentences to expect, for the filter's size only: one in 40 characters."""
-    return (docs.agg(F.sum(F.length("text"))).first()[0] or 0) // 40
-
-
+@tidied
 def dedup_sentences(docs: DataFrame, max_slots: int = MAX_SLOTS) -> DataFrame:
     """docs with the cleaned text in place of text, and a struct column `repeats`: n_sentences, n_removed, removed."""
     tune(docs.sparkSession)
