@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gristmill.llm import bpe, exact_dedup, mixing, quality, simhash
-from gristmill.llm.common import discard, documents, materialize, written
+from gristmill.llm.common import discard, documents, materialize, owned
 from gristmill.llm.queries import WORD_BPE, table, tokenizer
 
 
@@ -46,10 +46,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The encoded corpus. What a stage wrote on its way goes once its result is written."""
-    docs, before = documents(spark, sf_dir), set(written())
+    """The encoded corpus. What a stage wrote and read on its way goes once its result is written."""
+    docs, before = documents(spark, sf_dir), []
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
-        *old, _ = (path for path in written() if path not in before)
-        discard(spark, old)
+        with owned() as made:
+            docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            discard(spark, before + made[:-1])
+            before = made[-1:]
+            made.clear()
     return docs
