@@ -9,7 +9,7 @@ Newton steps on the log-odds of the constraint solve all sources at once, over t
 (source, size, documents): documents are counted before anything shuffles, and a round moves that
 table only. Rates become copies from the largest size to the smallest, carrying the words left over, so a
 source ends within about half its smallest document of its target. Which documents of one size and source get
-the extra copy goes by the hash of doc_id: those up to a threshold. It is found by counting the group's rows in some
+the extra copy goes by the hash of doc_id and text: those up to a threshold. It is found by counting the group's rows in some
 n / PART_ROWS equal ranges of hashes and ranking the rows of one range alone, so no group meets in one task, and the plan is
 a table by (source, size) that documents look up where they lie.
 
@@ -160,13 +160,13 @@ def _copies() -> Column:
 def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:
     """doc_id, size, source_size, target, taken (words, repeats counted), copies for each row of docs."""
     tune(docs.sparkSession)
-    thin = materialize(docs.select("doc_id", "source", words().alias("size")).select("*", F.xxhash64("doc_id").alias("h")), "mix-thin")
+    thin = materialize(docs.select("doc_id", "source", words().alias("size"), F.xxhash64("doc_id", "text").alias("h")), "mix-thin")
     table = plan(thin, weights, share)
     rows = thin.count()
     found = lookup(thin.withColumn("_group", _group()), table.withColumn("weight", F.col("n")), "_group", "weight", rows)
     keep = ["doc_id", "size", "source_size", "target"]
     sure = found.where(~_partly()).select(*keep, _copies().alias("copies"))
-    # rows alike in doc_id, source and size, of which some get the extra copy: dealt to parts, each with its share of them
+    # rows alike in doc_id, source and text, of which some get the extra copy: dealt to parts, each with its share of them
     ties = materialize(found.where(_partly()).withColumn("_nr", F.monotonically_increasing_id()), "mix-ties").withColumn("_part", F.pmod(F.xxhash64("_nr"), F.ceil(F.col("ties") / PART_ROWS)))
     upto = Window.partitionBy("_group").orderBy("_part")
     dealt = ties.groupBy("_group", "_part", "given", "ties").agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(upto))
