@@ -39,8 +39,35 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+def _secrets_sql() -> str:
+    """Operator 5 in SQL: matches and the gaps between them give the spans, an interval semi join the links."""
+    name = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word) for word in ("password", "passwd", "secret", "token")) + "|[Aa][Pp][Ii]_?[Kk][Ee][Yy]"
+    assign = rf"""(?:{name})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+    # a blob is a whole run of 40: one that goes on or ends in = is none
+    patterns = {
+        "assign": assign, "access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]+",
+        "ident": r"""\b(?:client_?id|access_?key_?id|account(?:_?id)?|user_?name|login)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9@+/_.-]{3,}""",
+        "blob": "[A-Za-z0-9+/]+=?", "endpoint": r"""https?://[A-Za-z0-9.-]+(?::[0-9]+)?[^\x20\x09-\x0D"''<>]*""",
+    }
+    found = " UNION ALL ".join(f"SELECT rid, {i} AS kind, '{k}' AS name, regexp_extract_all(text, '{p}') AS hits, string_split_regex(text, '{p}') AS gaps FROM t" for i, (k, p) in enumerate(patterns.items()))
+    return rf"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS rid FROM documents),
+        f AS ({found}),
+        m AS (SELECT rid, kind, name, unnest(hits) AS hit, unnest(gaps[:len(hits)]) AS gap, unnest(range(len(hits))) AS i FROM f),
+        p AS (SELECT rid, kind, name, hit, length(hit) AS n, CAST(sum(length(gap) + length(hit)) OVER (PARTITION BY rid, kind ORDER BY i) AS BIGINT) AS e FROM m),
+        s AS (SELECT rid, kind, name, e - n AS a, e FROM p WHERE CASE name WHEN 'assign' THEN length(regexp_extract(hit, '^{assign}$', 1)) >= 12 WHEN 'access' THEN n >= 18 WHEN 'hex' THEN n >= 16
+              WHEN 'blob' THEN n = 40 AND right(hit, 1) <> '=' AND regexp_matches(hit, '[A-Z]') AND regexp_matches(hit, '[a-z]') AND regexp_matches(hit, '[0-9]') ELSE true END),
+        near AS (SELECT x.rid, x.kind, x.a, x.e, bool_or(y.name IN ('assign', 'hex', 'blob')) AS secret, bool_or(y.name IN ('access', 'ident')) AS identifier
+              FROM s x JOIN s y ON x.rid = y.rid AND x.a <= y.e + 200 AND y.a <= x.e + 200 AND x.kind <> y.kind WHERE x.kind >= 3 GROUP BY ALL),
+        kept AS (SELECT s.* FROM s LEFT JOIN near USING (rid, kind, a, e) WHERE s.kind < 3 OR (s.name = 'ident' AND secret) OR (s.name = 'blob' AND identifier) OR (s.name = 'endpoint' AND secret AND identifier)),
+        g AS (SELECT rid, count(*) FILTER (name = 'assign') AS n_assign, count(*) FILTER (name = 'access') AS n_access, count(*) FILTER (name = 'hex') AS n_hex,
+              string_agg(name || ':' || a || ':' || e, ',' ORDER BY a, kind) FILTER (kind < 3) AS base, string_agg(name || ':' || a || ':' || e, ',' ORDER BY a, kind) AS spans FROM kept GROUP BY rid)
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN g USING (rid)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_secrets": _secrets_sql(),
         "op3_exact_dedup": r"""
             WITH t AS (SELECT doc_id, coalesce(text, '') AS raw FROM documents),
             h AS (SELECT doc_id, length(raw) AS n, sha256(regexp_replace(raw, '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM t),
