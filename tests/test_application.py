@@ -208,6 +208,17 @@ def test_diagnosis(spark):
     assert {r.error: r.cases for r in ev.error_counts(found).collect()} == {"formatting_failure": 1, "contract_violation": 1}
 
 
+def test_instruction_corpus():
+    """141 cases with labels, in splits that share no question; recoveries carry a wrong output and the request to mend it."""
+    cases = ev.curated_cases()
+    count = lambda key: {k: sum(c[key] == k for c in cases) for k in {c[key] for c in cases}}
+    assert count("split") == ev.SPLITS and count("category") == ev.CURATED | {"pilot": ev.PILOT}
+    rows = ev.instructions(cases)
+    assert len(rows) == 141 and {len(r["messages"]) for r in rows if r["category"] == "recovery"} == {4}
+    assert all(json.loads(r["messages"][-1]["content"]) == request_plan(c["question"]) for r, c in zip(rows, cases))
+    assert all(ev.diagnose(c["previous_output"], c["target"])["errors"] for c in cases if "previous_output" in c)
+
+
 def test_leakage_and_instructions(spark):
     df = spark.createDataFrame([("a", "Is it  late?"), ("b", "is it late"), ("a", "x")], "split string, q string")
     assert [r.question for r in ev.overlapping_splits(df, "split", "q").collect()] == ["is it late"]
