@@ -442,17 +442,41 @@ def _confirmed(similarity: float):
     return run
 
 
+#: Sets of a large group that all its others are compared with first, and the most shingles that each may have.
+PIVOTS = 4
+PIVOT_SHINGLES = 20_000
+
+
+def _shared(packed: bytes, other: bytes) -> float:
+    """Jaccard similarity of two packed sets."""
+    x, y = np.frombuffer(packed, np.uint64), np.frombuffer(other, np.uint64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / max(1, len(x) + len(y) - both)
+
+
+def _near_pivot(similarity: float):
+    """UDF: numbers of the pivots that a set is near enough to."""
+
+    @F.pandas_udf("array<int>")
+    def near(shingles: pd.Series, pivots: pd.Series) -> pd.Series:
+        return pd.Series([[i for i, p in enumerate(ps) if _shared(x, p["shingles"]) >= similarity - 1e-9] for x, ps in zip(shingles, pivots, strict=True)])
+
+    return near
+
+
 def confirmed_links(docs: DataFrame, suspects: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """u, v joining the sets that pairs of Jaccard `similarity` or more join within each root's suspects.
 
     suspects: node, first (a doc_id that holds the set), n (its shingles), root. Each set is read from its
-    text again. A root with more than a block is dealt into blocks, and every two of them meet in a task.
+    text again. Of a root with more than a block, all sets are compared with PIVOTS of them; those near the pivot that most are near to
+    are joined by it and need no comparison among themselves. What is left, mostly little, is dealt into blocks that meet each
+    other and all blocks of the joined ones, so that no pair of sets that are not joined yet is left out.
     """
     totals = suspects.groupBy("root").agg(F.count("*").alias("weight"), F.sum("n").alias("shingles"))
-    totals = totals.where("weight > 1").withColumn("parts", F.ceil(F.greatest(F.col("shingles") / BLOCK_SHINGLES, F.col("weight") / BLOCK_SETS)).cast("int")).drop("shingles")
-    totals = materialize(totals, "wide-roots")
+    totals = totals.where("weight > 1").withColumn("size", F.least(F.lit(BLOCK_SETS), F.greatest(F.lit(1), F.floor(F.lit(BLOCK_SHINGLES) * F.col("weight") / F.col("shingles")))).cast("long"))  # sets in a block
+    totals = materialize(totals.drop("shingles"), "wide-roots")
     rows = totals.agg(F.sum("weight")).first()[0] or 0
-    wanted = lookup(suspects, totals, "root", "weight", rows).select(F.col("first").alias("doc_id"), "node", "root", "parts")
+    wanted = lookup(suspects, totals.withColumn("sets", F.col("weight")), "root", "weight", rows).select(F.col("first").alias("doc_id"), "node", "root", "sets", "size")
 
     @F.pandas_udf("node long, shingles binary")
     def sets_of(texts: pd.Series) -> pd.DataFrame:
@@ -460,14 +484,41 @@ def confirmed_links(docs: DataFrame, suspects: DataFrame, shingle: int, similari
         return pd.DataFrame({"node": np.array([set_id(x) for x in found], np.int64), "shingles": [x.tobytes() for x in found]})
 
     wanted = F.broadcast(wanted) if rows <= BROADCAST_IDS else wanted
-    read = docs.select("doc_id", "text").join(wanted, "doc_id").select("node", "root", "parts", sets_of("text").alias("s"))
-    read = read.where("s.node = node").select("node", "root", "parts", "s.shingles")  # a doc_id may stand for several texts
-    part = F.pmod("node", "parts").cast("int")
-    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: (x != part) | (F.col("parts") == 1))
-    dealt = read.select("root", "node", "shingles", part.alias("part"), F.explode(others).alias("other"))
+    read = docs.select("doc_id", "text").join(wanted, "doc_id").select("node", "root", "sets", "size", sets_of("text").alias("s"))
+    read = materialize(read.where("s.node = node").select("node", "root", "sets", "size", "s.shingles"), "wide-shingles")  # a doc_id may stand for several texts
+    large = read.where("sets > size")
+    if not large.limit(1).count():
+        return _meeting(read.select("root", "node", "shingles", F.lit(0).alias("low"), F.lit(0).alias("high")), similarity)
+    order = F.struct(F.xxhash64("node").alias("h"), "node", "shingles")
+    some = large.where(F.length("shingles") <= 8 * PIVOT_SHINGLES)
+    # a sample in the order of a hash, kept small in every task before it is gathered
+    dealt = some.withColumn("_deal", F.pmod(F.xxhash64("node"), F.lit(64))).groupBy("root", "_deal").agg(F.min(order).alias("p"))
+    pivots = dealt.groupBy("root").agg(F.slice(F.array_sort(F.collect_list("p")), 1, PIVOTS).alias("pivots")).join(totals, "root").select("root", "pivots", "weight")
+    near = materialize(lookup(large, materialize(pivots, "wide-pivots"), "root", "weight", rows).select("root", "node", F.explode(_near_pivot(similarity)("shingles", "pivots")).alias("i"), "pivots").select("root", "node", "i", F.col("pivots")[F.col("i")]["node"].alias("pivot")), "near-pivots")
+    best = near.groupBy("root", "i").agg(F.count("*").alias("n")).groupBy("root").agg(F.max_by("i", F.struct("n", -F.col("i"))).alias("i"), F.max("n").alias("weight"))
+    held = materialize(lookup(near.select(F.struct("root", "i").alias("_at"), "root", "node", "pivot"), best.select(F.struct("root", "i").alias("_at"), "weight"), "_at", "weight", rows).select("root", "node", "pivot").distinct(), "held")
+    joined = held.where("node <> pivot").select(F.greatest("node", "pivot").alias("u"), F.least("node", "pivot").alias("v"))
+    left = large.join(held.select("root", "node"), ["root", "node"], "left_anti")
+    open_ = materialize(left.groupBy("root").agg(F.count("*").alias("open"), F.first("sets").alias("weight")), "open-roots")
+    if not open_.limit(1).count():
+        return _meeting(read.where("sets <= size").select("root", "node", "shingles", F.lit(0).alias("low"), F.lit(0).alias("high")), similarity).unionByName(joined)
+    # blocks 0 to a - 1 hold what is left, a to a + b - 1 what is joined
+    marked = large.join(held.select("root", "node", F.lit(True).alias("is_held")), ["root", "node"], "left")
+    marked = lookup(marked, open_, "root", "weight", rows).withColumns({"is_held": F.coalesce("is_held", F.lit(False)), "a": F.ceil(F.col("open") / F.col("size")).cast("int"), "b": F.ceil((F.col("sets") - F.col("open")) / F.col("size")).cast("int")})
+    own = F.when(F.col("is_held"), F.col("a") + F.pmod(F.xxhash64("node"), F.greatest("b", F.lit(1)))).otherwise(F.pmod(F.xxhash64("node"), "a")).cast("int")
+    every = marked.withColumn("own", own)
+    alone = (F.col("a") == 1) & (F.col("b") == 0)
+    meets = F.filter(F.sequence(F.lit(0), F.col("a") + F.col("b") - 1), lambda x: ((x != F.col("own")) & ((x < F.col("a")) | ~F.col("is_held"))) | alone)
+    pairs = every.select("root", "node", "shingles", "own", F.explode(meets).alias("other")).select("root", "node", "shingles", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    small = read.where("sets <= size").select("root", "node", "shingles", F.lit(0).alias("low"), F.lit(0).alias("high"))
+    return _meeting(small.unionByName(pairs), similarity).unionByName(joined)
+
+
+def _meeting(dealt: DataFrame, similarity: float) -> DataFrame:
+    """u, v of the sets that meet under one root, low and high and are joined by pairs of enough similarity."""
     keys = ["root", "low", "high"]
-    dealt = dealt.select("root", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "node", "shingles")
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_confirmed(similarity), "u long, v long")
+    rows = dealt.select(*keys, "node", "shingles").repartition(*keys).sortWithinPartitions(*keys)
+    return rows.mapInArrow(_confirmed(similarity), "u long, v long")
 
 
 @tidied
