@@ -118,8 +118,14 @@ class Hasher:
         return np.stack(out, 1)
 
 
+def unpacked(vectors: list[bytes], dim: int) -> np.ndarray:
+    """Rows of doubles from packed vectors, which travel as floats where they were floats."""
+    kind = np.float32 if vectors and len(vectors[0]) == 4 * dim else np.float64
+    return np.frombuffer(b"".join(vectors), kind).reshape(-1, dim).astype(np.float64)
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dim)
+    return unpacked(column.to_pylist(), dim)
 
 
 def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -128,7 +134,8 @@ def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _valid(batch: pa.RecordBatch):
-    """The rows that take part, as bytes of doubles, with norms and lengths; all tests run on the flattened batch."""
+    """The rows that take part, as bytes of floats or doubles, with norms and lengths; all tests run on the flattened batch."""
+    kind = np.float32 if batch.column(1).type.value_type == pa.float32() else np.float64
     column, given = batch.column(1), batch.column(0).is_valid().to_numpy(zero_copy_only=False)
     sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = pc.fill_null(column.flatten().cast(pa.float64()), float("nan")).to_numpy(zero_copy_only=False) + 0.0  # -0.0 and 0.0 are one value
@@ -139,7 +146,8 @@ def _valid(batch: pa.RecordBatch):
         norms = np.sqrt(count(np.where(finite, flat, 0.0) ** 2))
     good = np.flatnonzero(given & (sizes > 0) & (count(~finite) == 0) & np.isfinite(norms) & (norms > 0))
     ends = np.cumsum(sizes)
-    rows = [flat[ends[i] - sizes[i] : ends[i]].tobytes() for i in good]
+    packed = flat.astype(kind)
+    rows = [packed[ends[i] - sizes[i] : ends[i]].tobytes() for i in good]
     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(good)), pa.array(rows, pa.binary()), pa.array(norms[good]), pa.array(sizes[good].astype(np.int32))], names=["vec_id", "v", "norm", "dim"])
 
 
@@ -153,7 +161,7 @@ def top_pairs(who: np.ndarray, scores: np.ndarray, reps: np.ndarray, k: int) ->
 
 def brute(rows: DataFrame, queries: list[tuple[int, bytes]], dim: int, k: int) -> DataFrame:
     """query, rep, v, score: the k best rows of a bounded set of broadcast queries, by blocks of all rows."""
-    shared = rows.sparkSession.sparkContext.broadcast((np.array([q for q, _ in queries]), np.frombuffer(b"".join(v for _, v in queries), np.float64).reshape(-1, dim)))
+    shared = rows.sparkSession.sparkContext.broadcast((np.array([q for q, _ in queries]), unpacked([v for _, v in queries], dim)))
 
     def make():
         def work(batch: pa.RecordBatch):
@@ -225,7 +233,7 @@ def fitted(classes: DataFrame, asked: DataFrame, rows: int, dim: int, most: floa
     if not truth:
         return Fit(Hasher(dim, 1, 1, most), 1, 1.0, 1.0)
     others = classes.orderBy(F.xxhash64("rep", F.lit(1)), "rep").limit(FIT_VECTORS).select("v").collect()
-    matrix = lambda found: np.frombuffer(b"".join(bytes(v) for v in found), np.float64).reshape(-1, dim)
+    matrix = lambda found: unpacked([bytes(v) for v in found], dim)
     asks, true, some = matrix(v for _, v in sample), matrix(v for _, v in truth), matrix(r.v for r in others)
     owner = np.array([i for i, _ in truth])
     best: tuple[float, Fit] | None = None
