@@ -111,51 +111,59 @@ def spiking(y: np.ndarray) -> bool:
     return y[-7:].mean() > 1.75 * max(y[-28:-7].mean(), 1) or y[-1] > 2 * max(y[-8:-1].mean(), 1)
 
 
+def by_residuals(y: np.ndarray, horizon: int) -> np.ndarray:
+    """Rows of lower, point and upper: the naive forecast, and around it the quantiles of its past errors; without enough of those, no band (nan)."""
+    point = np.array(naive(y, horizon))
+    errors = y[SEASON:] - y[:-SEASON]
+    off = np.quantile(errors, [QUANTILES[0], QUANTILES[-1]]) if len(errors) >= BAND_ROWS else np.full(2, np.nan)
+    return np.stack([np.maximum(0.0, point + np.minimum(0.0, off[0])), point, point + np.maximum(0.0, off[1])], axis=1)
+
+
+def by_boosting(y: np.ndarray, horizon: int) -> np.ndarray:
+    """The same from one boosted model a quantile, day by day: each median is history for the day after."""
+    rows = np.array([lag_row(y, t) for t in range(FIRST_T, len(y))])
+    models = [Boosted(q).fit(rows, y[FIRST_T:]) for q in QUANTILES]
+    days = np.concatenate([y, np.zeros(horizon)])
+    out = np.zeros((horizon, len(models)))
+    for i in range(horizon):
+        row = lag_row(days[: len(y) + i], len(y) + i)
+        out[i] = np.sort(np.maximum(0.0, [m.predict(row) for m in models]))
+        days[len(y) + i] = out[i, 1]
+    return out
+
+
 def forecast(history, horizon: int = HORIZON) -> dict:
     """method, point, lower, upper, baseline, warnings, quantiles, history_days."""
     y = checked(history)
     if not isinstance(horizon, int) or isinstance(horizon, bool) or not 1 <= horizon <= 90:
         raise ValueError("the horizon must be 1 to 90 days")
-    base = naive(y, horizon)
-    out = {"method": "seasonal_naive", "point": base, "baseline": base, "warnings": [NOTE], "quantiles": list(QUANTILES), "history_days": len(y)}
-    if len(y) < SPARSE:
-        out["warnings"].append(SPARSE_NOTE)
-        steps = y[SEASON:] - y[:-SEASON]
-        if len(steps) < BAND_ROWS:
-            out["warnings"].append(BAND_NOTE)
-            return out | {"lower": [None] * horizon, "upper": [None] * horizon}
-        low, high = np.quantile(steps, [QUANTILES[0], QUANTILES[-1]])
-        return out | {"lower": [max(0.0, min(v, v + low)) for v in base], "upper": [max(v, v + high) for v in base]}
-    if spiking(y):
-        out["warnings"].append(SPIKE_NOTE)
-    x = np.array([lag_row(y, t) for t in range(FIRST_T, len(y))])
-    models = [Boosted(q).fit(x, y[FIRST_T:]) for q in QUANTILES]
-    grown, bands = y.copy(), []
-    for _ in range(horizon):
-        row = lag_row(grown, len(grown))
-        bands.append(sorted(max(0.0, m.predict(row)) for m in models))
-        grown = np.append(grown, bands[-1][1])
-    lower, point, upper = (list(c) for c in zip(*bands, strict=True))
-    return out | {"method": "quantile_boosted_trees", "lower": lower, "point": point, "upper": upper}
+    sparse = len(y) < SPARSE
+    method, bands = ("seasonal_naive", by_residuals(y, horizon)) if sparse else ("quantile_boosted_trees", by_boosting(y, horizon))
+    unknown = bool(np.isnan(bands).any())
+    held = {NOTE: True, SPARSE_NOTE: sparse, BAND_NOTE: unknown, SPIKE_NOTE: not sparse and spiking(y)}
+    columns = {name: [None if np.isnan(v) else float(v) for v in column] for name, column in zip(("lower", "point", "upper"), bands.T, strict=True)}
+    return {"method": method, **columns, "baseline": naive(y, horizon), "warnings": [note for note, holds in held.items() if holds], "quantiles": list(QUANTILES), "history_days": len(y)}
 
 
 def fold(history, origin: int, horizon: int = HORIZON) -> dict:
-    """Errors of the forecast from the days before origin."""
+    """Errors of the forecast from the days before origin; the field names are fixed values."""
     y = checked(history)
-    made, truth = forecast(y[:origin], horizon), y[origin : origin + horizon]
-    banded = all(v is not None for v in made["lower"])
+    days = slice(origin, origin + horizon)
+    made = forecast(y[:origin], horizon)
+    lower, upper, point, plain = (np.array(made[c], float) - y[days] for c in ("lower", "upper", "point", "baseline"))  # against the truth
+    covered = None if np.isnan(lower).any() else float(np.mean((lower <= 0) & (upper >= 0)))
     return {
-        "train_end_index": origin - 1, "test_start_index": origin, "test_end_index": origin + horizon - 1,
-        "mae": float(np.abs(truth - made["point"]).mean()), "baseline_mae": float(np.abs(truth - made["baseline"]).mean()),
-        "interval_coverage": float(((truth >= made["lower"]) & (truth <= made["upper"])).mean()) if banded else None,
+        "train_end_index": days.start - 1, "test_start_index": days.start, "test_end_index": days.stop - 1,
+        "mae": float(np.abs(point).mean()), "baseline_mae": float(np.abs(plain).mean()), "interval_coverage": covered,
     }
 
 
 def walk_forward(history, horizon: int = HORIZON, min_train: int = MIN_TRAIN, step: int = STEP) -> dict:
-    y = checked(history)
-    found = [fold(y, origin, horizon) for origin in range(min_train, len(y) - horizon + 1, step)]
-    mean = lambda k: float(np.mean([f[k] for f in found])) if found else None
-    return {"folds": found, "mean_mae": mean("mae"), "mean_baseline_mae": mean("baseline_mae"), "warning": None if found else "The history is too short for walk-forward evaluation."}
+    """The folds of a history and their mean errors; the field names are fixed values."""
+    origins = range(min_train, len(checked(history)) - horizon + 1, step)
+    table = pd.DataFrame([fold(history, origin, horizon) for origin in origins])
+    means = {f"mean_{c}": None if table.empty else float(table[c].mean()) for c in ("mae", "baseline_mae")}
+    return {"folds": [fold_ | {"interval_coverage": None if pd.isna(fold_["interval_coverage"]) else fold_["interval_coverage"]} for fold_ in table.to_dict("records")], **means, "warning": None if len(origins) else "There is too little history to walk through."}
 
 
 def forecast_series(df: DataFrame, key: str, horizon: int = HORIZON) -> DataFrame:
