@@ -130,7 +130,8 @@ class WordBpe:
         self.merges = merge_table(model)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in [*self.vocab.items(), *self.special.items()]}
-        self.split = split_pattern(next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"])
+        pattern = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
+        self.split, self.split_ascii = split_pattern(pattern), regex.compile(pattern.replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9"))
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.symbols = byte_symbols()
         self.inner = [self.vocab[c] for c in self.symbols]
@@ -151,7 +152,7 @@ class WordBpe:
 
         Words of a mixed chunk are looked up by themselves, so a word is merged once whatever it is written next to.
         """
-        found = [chunk] if chunk.isalpha() else self.split.findall(chunk)
+        found = [chunk] if chunk.isalpha() else (self.split_ascii if chunk.isascii() else self.split).findall(chunk)
         if found != [chunk]:
             rows = [self.kept(word) for word in found]
             return " ".join([r[0] for r in rows]), " ".join([r[1] for r in rows])
